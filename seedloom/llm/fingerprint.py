@@ -11,6 +11,7 @@ deviations to spare, about 0.9999.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,6 @@ from .base import Workspace, gram_codes, jaccard
 
 BLOCKS = 32
 ROWS = 6
-WORDS = BLOCKS * ROWS // 64
 #: Largest Hamming distance of a candidate: mean 28.8 and deviation 4.9 at similarity 0.70.
 MAX_HAMMING = 50
 #: A block of at most so many classes is joined with itself; a larger one takes the leader path, which is as exact.
@@ -42,22 +42,55 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(codes: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-    """(identity of the set, 64-bit words of component bits, block keys) of a non-empty gram set."""
-    hashed = _scramble(codes.view(np.uint64) * _GOLD)
-    identity = _scramble(hashed + np.uint64(len(codes))).sum(dtype=np.uint64)
+@dataclass(frozen=True)
+class Summary:
+    """A few 64-bit words per gram set, and what two of them say about the similarity of the sets."""
+
+    words: int
+    #: (hashed grams, least hash of each component) -> words
+    compute: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    #: (Hamming distance of the words, size, other size, threshold) -> may the similarity reach the threshold?
+    allows: Callable[[Column, Column, Column, float], Column]
+
+    @property
+    def columns(self) -> list[str]:
+        return [f"f{i}" for i in range(self.words)]
+
+    def near(self, left: str, right: str, threshold: float) -> Column:
+        """What every pair of the wanted similarity fulfils: the sizes allow it and so do the words."""
+        a, b = F.col(f"{left}.n"), F.col(f"{right}.n")
+        distance = F.lit(0)
+        for word in self.columns:
+            distance = distance + F.bit_count(F.col(f"{left}.{word}").bitwiseXOR(F.col(f"{right}.{word}")))
+        return (a >= F.lit(threshold) * b) & (b >= F.lit(threshold) * a) & self.allows(distance, a, b, threshold)
+
+
+def _component_bits(hashed: np.ndarray, least: np.ndarray) -> np.ndarray:
+    return np.packbits((least * np.uint32(0x9E3779B1)) >> np.uint32(31), bitorder="little").view(np.int64)
+
+
+FINGERPRINT = Summary(BLOCKS * ROWS // 64, _component_bits, lambda distance, a, b, threshold: distance <= MAX_HAMMING)
+
+
+def hashed_grams(codes: np.ndarray) -> np.ndarray:
+    return _scramble(codes.view(np.uint64) * _GOLD)
+
+
+def components_and_keys(hashed: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """(identity of the set, least hash of each component, block keys) of a non-empty set of hashed grams."""
+    identity = _scramble(hashed + np.uint64(len(hashed))).sum(dtype=np.uint64)
     low = (hashed >> np.uint64(32)).astype(np.uint32)
     least = (low[:, None] * _MUL + _ADD).min(axis=0)
-    bits = np.packbits((least * np.uint32(0x9E3779B1)) >> np.uint32(31), bitorder="little").view(np.int64)
     keys = _scramble((least.reshape(BLOCKS, ROWS).astype(np.uint64) * _MIX).sum(axis=1, dtype=np.uint64) + _SEED)
-    return int(identity.view(np.int64)), bits, keys.view(np.int64)
+    return int(identity.view(np.int64)), least, keys.view(np.int64)
 
 
-def signatures(df: DataFrame, id_col: str, text_col: str, carry: dict[str, str] | None = None) -> DataFrame:
+def signatures(df: DataFrame, id_col: str, text_col: str, carry: dict[str, str] | None = None, summary: Summary = FINGERPRINT) -> DataFrame:
     """One row per text with at least one 3-gram: id, carried columns, gram count ``n``, set identity ``same``,
-    bit words ``f0..`` and ``keys``. Texts that are null or shorter than three characters are similar to nothing."""
+    summary words ``f0..`` and block ``keys``. Texts that are null or shorter than three characters are similar to
+    nothing."""
     carry = carry or {}
-    words = [f"f{i}" for i in range(WORDS)]
+    words = summary.columns
     schema = ", ".join(
         ["id bigint", *(f"`{k}` {v}" for k, v in carry.items()), "n int", "same bigint", *(f"{w} bigint" for w in words), "keys array<bigint>"]
     )
@@ -68,11 +101,12 @@ def signatures(df: DataFrame, id_col: str, text_col: str, carry: dict[str, str]
             for i, text in enumerate(batch.column(1).to_pylist()):
                 codes = gram_codes(text)
                 if len(codes):
-                    s, b, k = fingerprint(codes)
+                    hashed = hashed_grams(codes)
+                    s, least, k = components_and_keys(hashed)
                     at.append(i)
                     n.append(len(codes))
                     same.append(s)
-                    bits.append(b)
+                    bits.append(summary.compute(hashed, least))
                     keys.append(k)
             if not at:
                 continue
@@ -80,7 +114,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, carry: dict[str, str]
             columns = [batch.column(0).take(take), *(batch.column(2 + j).take(take) for j in range(len(carry)))]
             stacked = np.stack(bits)
             offsets = pa.array(np.arange(len(at) + 1, dtype=np.int32) * BLOCKS)
-            columns += [pa.array(n, pa.int32()), pa.array(same, pa.int64()), *(pa.array(stacked[:, w]) for w in range(WORDS))]
+            columns += [pa.array(n, pa.int32()), pa.array(same, pa.int64()), *(pa.array(stacked[:, w]) for w in range(len(words)))]
             columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys))))
             yield pa.RecordBatch.from_arrays(columns, ["id", *carry, "n", "same", *words, "keys"])
 
@@ -88,19 +122,6 @@ def signatures(df: DataFrame, id_col: str, text_col: str, carry: dict[str, str]
     return chosen.filter(F.col("id").isNotNull()).mapInArrow(run, schema)
 
 
-def hamming(left: str, right: str) -> Column:
-    total = F.lit(0)
-    for i in range(WORDS):
-        total = total + F.bit_count(F.col(f"{left}.f{i}").bitwiseXOR(F.col(f"{right}.f{i}")))
-    return total
-
-
-def near(left: str, right: str, threshold: float) -> Column:
-    """What every pair of the wanted similarity fulfils: the sizes allow it and the fingerprints are close."""
-    a, b = F.col(f"{left}.n"), F.col(f"{right}.n")
-    return (a >= F.lit(threshold) * b) & (b >= F.lit(threshold) * a) & (hamming(left, right) <= MAX_HAMMING)
-
-
 def blocks(classes: DataFrame) -> DataFrame:
     """One row per class and block with the block's size ``m``; a single shuffle, which all uses of it share."""
     spark = classes.sparkSession
@@ -109,14 +130,14 @@ def blocks(classes: DataFrame) -> DataFrame:
     return rows.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key")))
 
 
-def direct_pairs(blocked: DataFrame, threshold: float, also: Callable[[str, str], Column]) -> DataFrame:
+def direct_pairs(blocked: DataFrame, threshold: float, also: Callable[[str, str], Column], summary: Summary = FINGERPRINT) -> DataFrame:
     """Distinct candidate pairs (a, b) of the blocks of up to ``DIRECT_BLOCK`` classes."""
     small = blocked.filter(F.col("m").between(2, DIRECT_BLOCK))
-    joined = small.alias("a").join(small.alias("b"), (F.col("a.key") == F.col("b.key")) & also("a", "b") & near("a", "b", threshold))
+    joined = small.alias("a").join(small.alias("b"), (F.col("a.key") == F.col("b.key")) & also("a", "b") & summary.near("a", "b", threshold))
     return joined.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
-def leader_pairs(blocked: DataFrame, threshold: float, order: list[str]) -> DataFrame:
+def leader_pairs(blocked: DataFrame, threshold: float, order: list[str], summary: Summary = FINGERPRINT, also: Callable[[str, str], Column] | None = None) -> DataFrame:
     """Candidate pairs (a, b) of larger blocks: each class with the block's first one and with the one before it."""
     fields = [c for c in blocked.columns if c not in ("key", "m")]
     large = blocked.filter(F.col("m") > DIRECT_BLOCK)
@@ -124,11 +145,13 @@ def leader_pairs(blocked: DataFrame, threshold: float, order: list[str]) -> Data
     rows = large.withColumn("first", F.first(F.struct(*fields)).over(by)).withColumn("before", F.lag(F.struct(*fields)).over(by))
     here = F.struct(*fields).alias("b")
     both = rows.select(F.explode(F.array("first", "before")).alias("a"), here)
-    return both.filter((F.col("a.id") != F.col("b.id")) & near("a", "b", threshold)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    wanted = summary.near("a", "b", threshold) & (also("a", "b") if also else F.col("a.id") != F.col("b.id"))
+    return both.filter(wanted).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose exact 3-gram similarity reaches the threshold. ``texts``: (id, text)."""
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float, others: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) whose exact 3-gram similarity reaches the threshold. ``texts``: (id, text) of the ids a and,
+    without ``others``, b; ``others``: (b, tb)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +165,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), batch.column(1).take(pa.array(kept, pa.int64()))], ["a", "b"])
 
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb")) if others is None else others
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 

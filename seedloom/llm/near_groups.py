@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import Workspace, table
-from .fingerprint import DIRECT_BLOCK, SALTS, WORDS, blocks, components, direct_pairs, leader_pairs, near, signatures, verified
+from .fingerprint import DIRECT_BLOCK, FINGERPRINT, SALTS, blocks, components, direct_pairs, leader_pairs, signatures, verified
 
 
 def near_duplicate_groups(df: DataFrame, id_col: str = "row_id", text_col: str = "text", threshold: float = 0.70) -> DataFrame:
@@ -26,9 +26,8 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "row_id", text_col: str =
     as one record; further columns are ignored; an empty table gives an empty result.
     """
     work = Workspace(df.sparkSession, "near-groups")
-    words = [f"f{i}" for i in range(WORDS)]
     signed = work.keep(signatures(df, id_col, text_col), "signatures")
-    classes = work.keep(signed.groupBy("same", "n").agg(F.min("id").alias("id"), *(F.first(w).alias(w) for w in words), F.first("keys").alias("keys")).drop("same"), "classes")
+    classes = work.keep(signed.groupBy("same", "n").agg(F.min("id").alias("id"), *(F.first(w).alias(w) for w in FINGERPRINT.columns), F.first("keys").alias("keys")).drop("same"), "classes")
     texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     blocked = blocks(classes)
     direct = direct_pairs(blocked, threshold, lambda a, b: F.col(f"{a}.id") < F.col(f"{b}.id"))
@@ -64,7 +63,7 @@ def _across(large: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     all_ = marked.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     same = (F.col("a.key") == F.col("b.key")) & (F.col("a.salt") == F.col("b.salt"))
     once = (F.col("b.root") == F.col("b.major")) | (F.col("a.id") < F.col("b.id"))
-    joined = few.alias("a").join(all_.alias("b"), same & (F.col("a.root") != F.col("b.root")) & once & near("a", "b", threshold))
+    joined = few.alias("a").join(all_.alias("b"), same & (F.col("a.root") != F.col("b.root")) & once & FINGERPRINT.near("a", "b", threshold))
     return joined.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 

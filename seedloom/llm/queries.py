@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_groups
+from . import batch_history, cross_split, near_groups
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": batch_history.p1_found,
         "p2_found": near_groups.p2_found,
+        "p3_found": cross_split.p3_found,
+        "p3_overlap_report": cross_split.p3_overlap_report,
     }
 
 
