@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import batch_history, cross_split, near_groups
+from . import batch_history, cross_split, near_groups, personal_info
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": near_groups.p2_found,
         "p3_found": cross_split.p3_found,
         "p3_overlap_report": cross_split.p3_overlap_report,
+        "p5_found": personal_info.p5_found,
+        "p5_redacted": personal_info.p5_redacted,
     }
 
 
