@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import batch_history, cross_split, near_groups, personal_info
+from . import batch_history, cross_split, mojibake, near_groups, personal_info
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_overlap_report": cross_split.p3_overlap_report,
         "p5_found": personal_info.p5_found,
         "p5_redacted": personal_info.p5_redacted,
+        "p8_found": mojibake.p8_found,
+        "p8_restored": mojibake.p8_restored,
     }
 
 
