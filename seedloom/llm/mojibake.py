@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import table
+from .base import Workspace, table
 
 #: Tokens and character pairs of the model, at most: bounds what every worker holds.
 MODEL_TOKENS, MODEL_PAIRS = 200_000, 100_000
@@ -226,10 +226,11 @@ def _count(texts: DataFrame, model: Model | None) -> Model:
                 yield flush()
         yield flush()
 
-    totals = texts.mapInArrow(run, "pair boolean, key string, c bigint").groupBy("pair", "key").agg(F.sum("c").alias("c"))
+    totals = texts.mapInArrow(run, "pair boolean, key string, c bigint").groupBy("pair", "key").agg(F.sum("c").alias("c")).filter("c > 1")
+    totals = Workspace(texts.sparkSession, "counts").keep(totals, "counts")
 
     def most(pair: bool, limit: int) -> dict[str, int]:
-        rows = totals.filter(F.col("pair") == pair).filter("c > 1").orderBy(F.desc("c"), "key").limit(limit)
+        rows = totals.filter(F.col("pair") == pair).orderBy(F.desc("c"), "key").limit(limit)
         return {r.key: r.c for r in rows.select("key", "c").collect()}
 
     return Model(most(False, MODEL_TOKENS), most(True, MODEL_PAIRS))
