@@ -49,20 +49,28 @@ UNIT_WORDS = ["flat", "apt", "apartment", "unit", "suite", "house", "studio"]
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_MAIL = re.compile(r"\w[\w.+%-]*[@＠][\w-]+(?:\.[\w-]+)+")
+_NOT_LOCAL = re.compile(r"[^\w.+%-]")
+_DOMAIN = re.compile(r"[\w-]+(?:\.[\w-]+)+")
+_HANDLE = re.compile(r"\w+")
 _DOT = r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\sdot\s)"
 _AT = r"(?:\s?[@＠]\s?|\s?[\[({]\s?at\s?[\])}]\s?|\sat\s)"
 _SPELT = re.compile(rf"\w[\w+%-]*(?:{_DOT}[\w+%-]+)*{_AT}[\w-]+(?:{_DOT}[\w-]+)+(?!\w)(?!{_AT})", re.IGNORECASE)
-_SPELT_SIGN = re.compile(r"[\[({ ](?:dot|at)[\])} ]", re.IGNORECASE)
+_SPELT_SIGNS = ("at)", "at]", "at}", " dot ", "dot)", "dot]", "dot}", " @")
+_DIGITS = re.compile(r"\d+")
 _NO = r"\d{1,4}[a-z]?(?:\s?[-/–]\s?\d{1,4}[a-z]?)?"
-_UNIT = rf"(?:\b(?:{'|'.join(UNIT_WORDS)})\.?\s{_NO},?\s)"
 _TOWN = r"(?P<town>,\s[^\W\d_][\w'’-]+(?:\s\d{4,5})?)?"
-_STREET = re.compile(
-    rf"(?:{_UNIT}(?:{_NO},?\s)?|(?<![\w.:/#-]){_NO},?\s)(?P<a>(?:[^\W\d_][\w'’-]*\s){{1,3}}?)(?P<kind>{'|'.join(STREET_WORDS)})\b\.?{_TOWN}"
-    rf"|{_UNIT}?\b(?P<b>[^\W\d_][\w'’-]+(?:{'|'.join(STREET_ENDS)}))\s{_NO}(?!\w){_TOWN.replace('town', 'town2')}"
-    rf"|(?:{_UNIT}(?:{_NO},?\s)?|(?<![\w.:/#-]){_NO},?\s)(?:{'|'.join(STREET_STARTS)})\s(?:(?:de|du|des|la|le)\s)*[^\W\d_][\w'’-]+",
+#: from a house number on: words and a kind of street, or a kind of street and a word
+_AFTER_NO = re.compile(
+    rf"{_NO},?\s(?:(?P<words>(?:[^\W\d_][\w'’-]*\s){{1,3}}?)(?:{'|'.join(STREET_WORDS)})\b\.?{_TOWN}"
+    rf"|(?:{'|'.join(STREET_STARTS)})\s(?:(?:de|du|des|la|le)\s)*[^\W\d_][\w'’-]+)",
     re.IGNORECASE,
 )
+_NO_END = re.compile(rf"{_NO}(?!\w){_TOWN}", re.IGNORECASE)
+#: what may stand before a house number: a flat or house part, or a street name that ends in its kind
+_UNIT_END = re.compile(rf"\b(?:{'|'.join(UNIT_WORDS)})\.?\s(?:{_NO},?\s)?$", re.IGNORECASE)
+_NAME_END = re.compile(rf"[^\W\d_][\w'’-]*(?:{'|'.join(STREET_ENDS)})\s$", re.IGNORECASE)
+_ENDS = tuple(STREET_ENDS)
+_UNIT_NO_END = re.compile(rf"\b(?:{'|'.join(UNIT_WORDS)})\.?\s{_NO},?\s$", re.IGNORECASE)
 _CHUNK = r"[A-Za-z]{0,6}\d[\dA-Za-z]*"
 _NUMBER = re.compile(
     rf"(?<![\w@.])(?:(?!(?:on|no|at|to|by|is|id|ni|or|in|of|my)\b)[A-Za-z]{{2}} (?=\d\d ?\d\d ?\d\d ?[A-Za-z]?\b)|[A-Za-z]{{1,4}}[/-](?=\d))?[+(]{{0,2}}{_CHUNK}"
@@ -84,11 +92,26 @@ def _words_before(text: str, at: int) -> list[str]:
 
 
 def _masked(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Spans of e-mail addresses, and of account handles and similar."""
-    mails = [m.span() for m in _MAIL.finditer(text)] if "@" in text or "＠" in text else []
-    if _SPELT_SIGN.search(text):
-        mails += [m.span() for m in _SPELT.finditer(text) if not any(m.start() < e and s < m.end() for s, e in mails)]
-    return mails, [m.span() for m in re.finditer(r"@\w+", text)] if "@" in text else []
+    """Spans of e-mail addresses, and of account handles."""
+    mails, handles = [], []
+    for sign in "@＠":
+        at = text.find(sign)
+        while at >= 0:
+            start = at
+            while start and not _NOT_LOCAL.match(text, start - 1):
+                start -= 1
+            while start < at and not text[start].isalnum():
+                start += 1
+            domain = _DOMAIN.match(text, at + 1)
+            if start < at and domain:
+                mails.append((start, domain.end()))
+            elif start == at and (handle := _HANDLE.match(text, at + 1)):
+                handles.append((at, handle.end()))
+            at = text.find(sign, at + 1)
+    low = text.lower()
+    if any(s in low for s in _SPELT_SIGNS):
+        mails += [m.span() for m in _SPELT.finditer(text) if all(m.end() <= s or m.start() >= e for s, e in mails)]
+    return mails, handles
 
 
 def _free(start: int, end: int, taken: list[tuple[int, int]]) -> bool:
@@ -101,6 +124,7 @@ class Extractor:
     def __init__(self, ordinary: frozenset[str], names: dict[str, str]) -> None:
         self.ordinary = ordinary | frozenset(CALENDAR) | frozenset(TITLES)
         self.names = names
+        self.not_towns = self.ordinary | frozenset(UNIT_WORDS)
         #: name parts that are no ordinary words: only these are seeds
         self.seeds = frozenset(names) - self.ordinary
 
@@ -109,29 +133,60 @@ class Extractor:
         mails, handles = _masked(text)
         found = [("email", s, e, text[s:e].lower(), [], "email") for s, e in mails]
         taken = mails + handles
-        digits = any(c.isdigit() for c in text)
-        if digits:
-            for start, end in self._streets(text):
-                if _free(start, end, taken):
-                    found.append(("address", start, end, text[start:end].lower(), [], "address"))
-                    taken.append((start, end))
-            for m in _NUMBER.finditer(text):
-                if len(_NOT_DIGIT.sub("", m.group())) >= 6 and not _AMOUNT.fullmatch(m.group()) and _free(m.start(), m.end(), taken):
-                    found.append(self._number(text, m.start(), m.end()))
-                    taken.append(m.span())
+        runs = [m.span() for m in _DIGITS.finditer(text)]
+        for start, end in self._streets(text, runs):
+            if _free(start, end, taken):
+                found.append(("address", start, end, text[start:end].lower(), [], "address"))
+                taken.append((start, end))
+        for start, end in self._numbers(text, runs):
+            if _free(start, end, taken):
+                found.append(self._number(text, start, end))
+                taken.append((start, end))
         found += self._people(text, taken)
         return found
 
-    def _streets(self, text: str) -> Iterator[tuple[int, int]]:
-        for m in _STREET.finditer(text):
-            words = [w.lower() for w in _WORD.findall(m["a"] or m["b"] or "")]
-            if any(w in self.ordinary for w in words):
+    def _streets(self, text: str, runs: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+        done = 0
+        for at, _ in runs:
+            if at < done or at and (text[at - 1].isalnum() or text[at - 1] in ".:/#-,"):
                 continue
-            town = m["town"] or m["town2"]
-            end = m.end()
-            if town and not any(c.isdigit() for c in town) and _WORD.findall(town)[0].lower() in self.ordinary | frozenset(UNIT_WORDS):
+            start = at
+            m = _AFTER_NO.match(text, at)
+            if m:
+                if any(w in self.ordinary for w in map(str.lower, _WORD.findall(m["words"] or ""))):
+                    m = None
+                elif unit := _UNIT_END.search(text, max(0, at - 25), at):
+                    start = unit.start()
+            if not m and text[max(0, at - 9) : at - 1].lower().endswith(_ENDS):
+                name = _NAME_END.search(text, max(0, at - 45), at)
+                if name:
+                    m, start = _NO_END.match(text, at), name.start()
+                    if unit := _UNIT_NO_END.search(text, max(0, start - 25), start):
+                        start = unit.start()
+            if not m:
+                continue
+            end, town = m.end(), m["town"]
+            if town and town[-1] not in "0123456789" and _WORD.findall(town)[0].lower() in self.not_towns:
                 end -= len(town)
-            yield m.start(), end
+            done = end
+            yield start, end
+
+    def _numbers(self, text: str, runs: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+        """Spans of number-like tokens of six or more digits, looked for only where digits are that dense."""
+        i = 0
+        while i < len(runs):
+            j, count = i, runs[i][1] - runs[i][0]
+            while j + 1 < len(runs) and runs[j + 1][0] - runs[j][1] <= 8:
+                j += 1
+                count += runs[j][1] - runs[j][0]
+            if count >= 6:
+                start = runs[i][0]
+                while start and text[start - 1] not in " \n\t,;" and runs[i][0] - start < 12:
+                    start -= 1
+                for m in _NUMBER.finditer(text, max(0, start - 3), min(len(text), runs[j][1] + 12)):
+                    if len(_NOT_DIGIT.sub("", m.group())) >= 6 and not _AMOUNT.fullmatch(m.group()):
+                        yield m.span()
+            i = j + 1
 
     def _number(self, text: str, start: int, end: int) -> tuple[str, int, int, str, list[str], str | None]:
         span, before = text[start:end], _words_before(text, start)
@@ -153,7 +208,10 @@ class Extractor:
         words = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text)]
         names, ordinary, fixed = self.names, self.ordinary, _NEVER
         marks: list[bool] = []
-        for s, e, w in words:
+        for s, _, w in words:
+            if w in ordinary and w not in names:
+                marks.append(False)
+                continue
             low = w.lower()
             if low.endswith(("'s", "’s")):
                 low = low[:-2]
