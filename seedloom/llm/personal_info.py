@@ -15,7 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import Workspace, table
@@ -46,6 +46,7 @@ STREET_ENDS = ["strasse", "straße", "weg", "platz", "allee", "gasse", "straat",
 STREET_STARTS = ["rue", "avenue", "boulevard", "chemin", "impasse", "allée", "calle", "via"]
 UNIT_WORDS = ["flat", "apt", "apartment", "unit", "suite", "house", "studio"]
 
+LABELS = ["email", "phone", "id_number", "address", "name", "goods", "firm"]
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -360,28 +361,37 @@ def _candidates(texts: DataFrame, extractor: Extractor) -> DataFrame:
     return texts.select(*keys, "text").mapInArrow(run, schema)
 
 
-def _scored(work: Workspace, kinds: DataFrame) -> DataFrame:
-    """The sure patterns after ``ROUNDS`` of scoring: (group, pattern, label, score).
+def _code(label: Column) -> Column:
+    """Labels as numbers, which aggregations hold in place."""
+    return F.array_position(F.array(*map(F.lit, LABELS)), label).cast("int")
 
-    ``kinds`` has one row per distinct (group, instance, patterns, seed) with an id. Each round, patterns are scored by
-    the distinct instances of each label and candidates without seed take the label of their surest pattern.
+
+def _scored(work: Workspace, edges: DataFrame) -> DataFrame:
+    """The sure patterns after ``ROUNDS`` of scoring: (group, pattern, label, score), labels being numbers.
+
+    ``edges`` has a row per pattern of each distinct candidate: (group, id, instance, seed, pattern). Each round, patterns
+    are scored by the distinct instances of each label, and candidates without seed take the label of their surest
+    pattern.
     """
-    edges = work.keep(kinds.select("group", "id", "instance", "seed", F.explode("patterns").alias("pattern")), "pattern-graph")
-    labels = kinds.filter("seed is not null").select("id", F.col("seed").alias("label"))
+    found = None
     for _ in range(ROUNDS):
-        votes = edges.join(labels, "id", "left").groupBy("group", "pattern", "label").agg(F.approx_count_distinct("instance", 0.03).alias("n"))
+        if found is None:
+            labelled = edges.withColumn("label", F.col("seed"))
+        else:
+            labelled = edges.join(found, "id", "left").withColumn("label", F.coalesce("seed", "found"))
+        votes = labelled.select("group", "pattern", "instance", "label").distinct().groupBy("group", "pattern", "label").agg(F.count(F.lit(1)).alias("n"))
+        known = F.when(F.col("label").isNotNull(), F.col("n"))
         total = votes.groupBy("group", "pattern").agg(
-            F.sum(F.when(F.col("label").isNotNull(), F.col("n")).otherwise(0)).alias("all"),
-            F.sum(F.when(F.col("label").isNull(), F.col("n")).otherwise(0)).alias("open"),
-            F.max_by("label", F.when(F.col("label").isNotNull(), F.col("n"))).alias("label"),
-            F.max(F.when(F.col("label").isNotNull(), F.col("n"))).alias("most"),
+            F.coalesce(F.sum(known), F.lit(0)).alias("all"),
+            F.coalesce(F.sum(F.when(F.col("label").isNull(), F.col("n"))), F.lit(0)).alias("open"),
+            F.max_by("label", known).alias("label"),
+            F.max(known).alias("most"),
         )
         # names: what is capitalised and not yet labelled counts a little against a pattern; the list is far from whole
         against = F.when(F.col("group") == "name", F.col("open") * 0.1).otherwise(F.lit(0.0))
         sure = total.withColumn("score", F.col("most") / (F.col("all") + against + 0.1)).filter((F.col("most") >= SUPPORT) & (F.col("score") >= SURE))
         sure = work.keep(sure.select("group", "pattern", "label", "score"), "sure-patterns")
-        found = edges.filter("seed is null").join(sure, ["group", "pattern"]).groupBy("id").agg(F.max_by("label", "score").alias("label"))
-        labels = work.keep(kinds.filter("seed is not null").select("id", F.col("seed").alias("label")).union(found), "labels")
+        found = edges.filter("seed is null").join(sure, ["group", "pattern"]).groupBy("id").agg(F.max_by("label", "score").alias("found"))
     return sure
 
 
@@ -397,29 +407,31 @@ def personal_spans(texts: DataFrame, names: DataFrame) -> DataFrame:
     extractor = Extractor(_ordinary_set(texts.select("text")), _name_list(names))
     keys = [c for c in texts.columns if c != "text"]
     found = work.keep(_candidates(texts, extractor), "candidates")
-    graph = found.filter("size(patterns) > 0")
-    distinct = graph.groupBy("group", "instance", "patterns", "seed").agg(F.count(F.lit(1)).alias("uses"))
-    kinds = work.keep(distinct.withColumn("id", F.xxhash64("group", "instance", "patterns")).drop("uses"), "kinds")
-    sure = _scored(work, kinds)
+    graph = found.filter("size(patterns) > 0").withColumn("id", F.xxhash64("group", "instance", "patterns"))
+    kinds = graph.select("group", "id", "instance", _code(F.col("seed")).alias("seed"), "patterns").distinct()
+    edges = work.keep(kinds.select("group", "id", "instance", "seed", F.explode("patterns").alias("pattern")), "pattern-graph")
+    sure = _scored(work, edges)
     # what is no seed needs a pattern that includes the left side: what follows a name may follow any word
-    edges = kinds.select("group", "id", "instance", "seed", F.explode("patterns").alias("pattern")).filter("group != 'name' or pattern not like 'r %'")
-    best = edges.join(sure, ["group", "pattern"]).groupBy("id").agg(F.max_by("label", F.struct("score", "pattern")).alias("label"))
-    judged = kinds.join(best, "id", "left")
-    people = judged.filter("group = 'name'")
+    sided = edges.filter("group != 'name' or pattern not like 'r %'")
+    best = sided.join(sure, ["group", "pattern"]).groupBy("id").agg(F.max_by("label", "score").alias("label"))
+    judged = edges.select("group", "id", "instance", "seed").distinct().join(best, "id", "left")
+    name, firm, goods, number = (LABELS.index(x) + 1 for x in ("name", "firm", "goods", "id_number"))
+    people = judged.filter(F.col("seed") == name).filter("group = 'name'")
     # a listed part that rarely stands where names stand is an ordinary word as well, and needs its context
-    part = people.filter("seed = 'name'").select(F.explode(F.split("instance", " ")).alias("part"), F.col("label").eqNullSafe("name").alias("named"))
+    part = people.select(F.explode(F.split("instance", " ")).alias("part"), F.col("label").eqNullSafe(name).alias("named"))
     plain = part.groupBy("part").agg(F.avg(F.col("named").cast("int")).alias("share")).filter("share < 0.4").select("part")
-    loose = people.filter("seed = 'name' and instance not like '% %'").join(plain, F.col("instance") == F.col("part"), "left_semi").select("id").withColumn("loose", F.lit(True))
+    loose = people.filter("instance not like '% %'").join(plain, F.col("instance") == F.col("part"), "left_semi").select("id").withColumn("loose", F.lit(True))
     verdict = judged.join(loose, "id", "left").withColumn(
         "kind",
-        F.when(F.col("group") == "number", F.coalesce(F.when(F.col("seed").isin("goods", "id_number"), F.col("seed")), "label", "seed"))
-        .when(F.col("seed") == "firm", F.lit("firm"))
-        .when((F.col("seed") == "name") & F.col("loose").isNull(), F.lit("name"))
+        F.when(F.col("group") == "number", F.coalesce(F.when(F.col("seed").isin(goods, number), F.col("seed")), "label", "seed"))
+        .when(F.col("seed") == firm, F.col("seed"))
+        .when((F.col("seed") == name) & F.col("loose").isNull(), F.col("seed"))
         .otherwise(F.col("label")),
     )
-    wanted = verdict.filter(F.col("kind").isin(*PLACEHOLDERS)).select("group", "instance", "patterns", "kind")
+    kind = F.element_at(F.array(*map(F.lit, LABELS)), F.col("kind"))
+    wanted = verdict.filter("kind is not null").select("id", kind.alias("kind")).filter(F.col("kind").isin(*PLACEHOLDERS))
     fixed = found.filter("size(patterns) = 0").withColumn("kind", F.col("seed"))
-    hits = graph.join(wanted, ["group", "instance", "patterns"]).select(*found.columns, "kind").unionByName(fixed)
+    hits = graph.join(wanted, "id").select(*found.columns, "kind").unionByName(fixed)
     return hits.select(*keys, F.col("kind").alias("pii_kind"), (F.col("start") + 1).alias("start_pos"), F.col("end").alias("end_pos"))
 
 
