@@ -1,7 +1,7 @@
 """Tolerant reading of JSON in model responses.
 
-The fast path is Spark's own JSON parser on the fence-stripped text; only what it can't read goes through a Python
-function, batch by batch, which looks for the first position where a JSON value begins.
+Fences are stripped and members are read inside the JVM; only finding the JSON value in the text goes through a Python
+function, batch by batch, because Spark's parser accepts tails, refuses prose before the value and repeated keys.
 """
 
 from __future__ import annotations
@@ -41,14 +41,13 @@ def first_json(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
 def _searched(text: pd.Series) -> pd.Series:
     return text.map(first_json, na_action="ignore").astype(object).where(text.notna(), None)
 
 
 def json_payload(c: Column) -> Column:
     """The JSON value in a response as text, or null; prose before it, fences and a tail after it are dropped."""
-    return _searched(without_fences(c))
+    return F.pandas_udf(_searched, "string")(without_fences(c))
 
 
 def field(payload: Column, name: str) -> Column:

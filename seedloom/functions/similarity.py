@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import trigrams
+from .text import let, trigrams
 
 
 def lcs(left, right) -> int:
@@ -24,11 +24,14 @@ def lcs(left, right) -> int:
     return len(left) - row.bit_count()
 
 
-@F.pandas_udf("int")
-def lcs_length(left: pd.Series, right: pd.Series) -> pd.Series:
+def _lengths(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([lcs(a, b) if a is not None and b is not None else 0 for a, b in zip(left, right, strict=True)], dtype="int32")
 
 
+def lcs_length(left: Column, right: Column) -> Column:
+    return F.pandas_udf(_lengths, "int")(left, right)
+
+
 def f1_of(common: Column, left: Column, right: Column) -> Column:
     """Harmonic mean of precision and recall, in the order of operations that decides ties at a threshold."""
     p, r = common / left, common / right
@@ -41,6 +44,12 @@ def rouge_l(left: Column, right: Column) -> Column:
 
 
 def jaccard_trigrams(left: Column, right: Column) -> Column:
-    a, b = trigrams(left), trigrams(right)
-    shared = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), shared / (F.size(a) + F.size(b) - shared)).otherwise(F.lit(0.0))
+    """Shared share of two 3-gram sets; 0 if either is empty."""
+
+    def share(both: Column) -> Column:
+        def of(shared: Column) -> Column:
+            return shared / (F.size(both["a"]) + F.size(both["b"]) - shared)
+
+        return F.when((F.size(both["a"]) > 0) & (F.size(both["b"]) > 0), let(F.size(F.array_intersect(both["a"], both["b"])), of)).otherwise(F.lit(0.0))
+
+    return let(F.struct(trigrams(left).alias("a"), trigrams(right).alias("b")), share)

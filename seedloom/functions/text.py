@@ -47,11 +47,19 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(f"[{WORD}]+|[^{WORD}{SPACE}]"), F.lit(0))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` applied to a value that is computed once, although ``body`` may name it inside lambdas or repeatedly."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trigrams(c: Column) -> Column:
     """Distinct 3-character strings of the lower-cased, squashed text."""
-    text = F.lower(squash(c))
-    grams = F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substr(text, i, F.lit(3)))
-    return F.when(F.length(text) >= 3, F.array_distinct(grams)).when(c.isNotNull(), F.array().cast("array<string>"))
+
+    def cut(text: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substr(text, i, F.lit(3)))
+        return F.when(F.length(text) >= 3, F.array_distinct(grams)).when(text.isNotNull(), F.array().cast("array<string>"))
+
+    return let(F.lower(squash(c)), cut)
 
 
 def has_word(c: Column, words: list[str]) -> Column:

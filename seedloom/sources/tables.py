@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+def read(spark: SparkSession, sf_dir: str, name: str, *columns) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
