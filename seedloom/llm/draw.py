@@ -19,15 +19,12 @@ def draw(rows: DataFrame, cells: list[str], quotas: DataFrame, order: list[Colum
     a cell of any size costs one aggregation and a rank over about 1 / SLICES of it.
     """
     number = F.pmod(F.xxhash64(F.lit(seed), *order), F.lit(1 << 40))
-    numbered = rows.join(quotas, cells).withColumn("_number", number).withColumn("_slice", F.shiftright("_number", 26).cast("int"))
-    counts = numbered.groupBy(*cells, "_slice").agg(F.count(F.lit(1)).alias("_c"))
-    below = F.sum("_c").over(Window.partitionBy(*cells).orderBy("_slice")) - F.col("_c")
-    slices = counts.withColumn("_below", below).drop("_c")
-    placed = numbered.join(slices, [*cells, "_slice"]).filter(F.col("_below") < F.col("quota"))
-    # a slice that ends below the next one's start needs no rank; the last one may
-    last = slices.join(quotas, cells).filter("_below < quota").groupBy(*cells).agg(F.max("_slice").alias("_last"))
-    marked = placed.join(last, cells)
-    whole = marked.filter("_slice < _last")
-    by = Window.partitionBy(*cells).orderBy("_number", *order)
-    part = marked.filter("_slice = _last").withColumn("_rank", F.row_number().over(by)).filter(F.col("_below") + F.col("_rank") <= F.col("quota"))
-    return whole.select(rows.columns).unionByName(part.select(rows.columns))
+    wanted = quotas.select(*cells, F.col("quota").alias("_draw_quota"))
+    numbered = rows.join(wanted, cells).withColumn("_draw_number", number).withColumn("_draw_slice", F.shiftright("_draw_number", 26).cast("int"))
+    counts = numbered.groupBy(*cells, "_draw_slice").agg(F.count(F.lit(1)).alias("_draw_count"))
+    below = F.sum("_draw_count").over(Window.partitionBy(*cells).orderBy("_draw_slice")) - F.col("_draw_count")
+    placed = numbered.join(counts.withColumn("_draw_below", below), [*cells, "_draw_slice"]).filter(F.col("_draw_below") < F.col("_draw_quota"))
+    all_of_it = F.col("_draw_below") + F.col("_draw_count") <= F.col("_draw_quota")
+    rank = F.row_number().over(Window.partitionBy(*cells, "_draw_slice").orderBy("_draw_number", *order))
+    part = placed.filter(~all_of_it).withColumn("_draw_rank", rank).filter(F.col("_draw_below") + F.col("_draw_rank") <= F.col("_draw_quota"))
+    return placed.filter(all_of_it).select(rows.columns).unionByName(part.select(rows.columns))

@@ -339,26 +339,23 @@ def _name_list(names: DataFrame) -> dict[str, str]:
 
 def _candidates(texts: DataFrame, extractor: Extractor) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(extractor)
-    keys = [c for c in texts.columns if c != "text"]
-    kinds = dict(texts.dtypes)
+    kind = dict(texts.dtypes)["key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = shared.value.candidates
         for batch in batches:
             at, rows = [], []
-            for i, text in enumerate(batch.column(len(keys)).to_pylist()):
+            for i, text in enumerate(batch.column(1).to_pylist()):
                 if text:
                     for row in find(text):
                         at.append(i)
                         rows.append(row)
             group, start, end, instance, patterns, seed = zip(*rows, strict=True) if rows else ([],) * 6
             take = pa.array(at, pa.int64())
-            columns = [batch.column(k).take(take) for k in range(len(keys))]
-            columns += [pa.array(group, pa.string()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(instance, pa.string()), pa.array(patterns, pa.list_(pa.string())), pa.array(seed, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [*keys, "group", "start", "end", "instance", "patterns", "seed"])
+            columns = [batch.column(0).take(take), pa.array(group, pa.string()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(instance, pa.string()), pa.array(patterns, pa.list_(pa.string())), pa.array(seed, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "group", "start", "end", "instance", "patterns", "seed"])
 
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", `group` string, start bigint, `end` bigint, instance string, patterns array<string>, seed string"
-    return texts.select(*keys, "text").mapInArrow(run, schema)
+    return texts.mapInArrow(run, f"key {kind}, `group` string, start bigint, `end` bigint, instance string, patterns array<string>, seed string")
 
 
 def _code(label: Column) -> Column:
@@ -406,7 +403,8 @@ def personal_spans(texts: DataFrame, names: DataFrame) -> DataFrame:
     work = Workspace(texts.sparkSession, "personal-info")
     extractor = Extractor(_ordinary_set(texts.select("text")), _name_list(names))
     keys = [c for c in texts.columns if c != "text"]
-    found = work.keep(_candidates(texts, extractor), "candidates")
+    keyed = texts.select(F.struct(*keys).alias("key"), "text")
+    found = work.keep(_candidates(keyed, extractor), "candidates")
     graph = found.filter("size(patterns) > 0").withColumn("id", F.xxhash64("group", "instance", "patterns"))
     kinds = graph.select("group", "id", "instance", _code(F.col("seed")).alias("seed"), "patterns").distinct()
     edges = work.keep(kinds.select("group", "id", "instance", "seed", F.explode("patterns").alias("pattern")), "pattern-graph")
@@ -432,7 +430,7 @@ def personal_spans(texts: DataFrame, names: DataFrame) -> DataFrame:
     wanted = verdict.filter("kind is not null").select("id", kind.alias("kind")).filter(F.col("kind").isin(*PLACEHOLDERS))
     fixed = found.filter("size(patterns) = 0").withColumn("kind", F.col("seed"))
     hits = graph.join(wanted, "id").select(*found.columns, "kind").unionByName(fixed)
-    return hits.select(*keys, F.col("kind").alias("pii_kind"), (F.col("start") + 1).alias("start_pos"), F.col("end").alias("end_pos"))
+    return hits.select("key.*", F.col("kind").alias("pii_kind"), (F.col("start") + 1).alias("start_pos"), F.col("end").alias("end_pos"))
 
 
 def redacted(texts: DataFrame, spans: DataFrame) -> DataFrame:
@@ -441,17 +439,18 @@ def redacted(texts: DataFrame, spans: DataFrame) -> DataFrame:
     ``spans`` as given by ``personal_spans`` on the same key columns, which must identify a row.
     """
     keys = [c for c in texts.columns if c != "text"]
-    per = spans.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start_pos", "end_pos", "pii_kind"))).alias("spans"))
-    joined = texts.join(per, keys, "left")
+    span = F.struct("start_pos", "end_pos", "pii_kind")
+    per = spans.groupBy(F.struct(*keys).alias("_key")).agg(F.sort_array(F.collect_list(span)).alias("_spans"))
+    joined = texts.withColumn("_key", F.struct(*keys)).join(per, "_key", "left")
     marks = F.create_map(*(F.lit(x) for pair in PLACEHOLDERS.items() for x in pair))
     start = F.struct(F.lit("").alias("out"), F.lit(1).cast("bigint").alias("at"))
 
-    def step(state, span):
+    def step(state: Column, span: Column) -> Column:
         keep = F.substring(F.col("text"), state["at"].cast("int"), (span["start_pos"] - state["at"]).cast("int"))
         return F.struct(F.concat(state["out"], keep, marks[span["pii_kind"]]).alias("out"), (span["end_pos"] + 1).alias("at"))
 
-    whole = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"].cast("int"), F.length("text"))))
-    return joined.select(*keys, "text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(whole).alias("redacted"))
+    whole = F.aggregate("_spans", start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"].cast("int"), F.length("text"))))
+    return joined.select(*keys, "text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(whole).alias("redacted"))
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
