@@ -229,7 +229,7 @@ SQL = {
     "rubric_contexts": f"WITH {_POOL}, {_contexts('rec', 3, 25)}",
     "adaptive_contexts": f"WITH {_POOL}, rec2 AS (SELECT * FROM rec WHERE rank <= 2), {_contexts('rec2', 1, 7)}",
     "fullshot_contexts": f"""
-    WITH {_POOL} SELECT dataset, seed, context_index, list_sort(list(support_id) FILTER (label = 'Sensitive')) AS positive_ids, list_sort(list(support_id) FILTER (label = 'Non-sensitive')) AS negative_ids
+    WITH {_POOL} SELECT dataset, seed, context_index, coalesce(list_sort(list(support_id) FILTER (label = 'Sensitive')), []) AS positive_ids, coalesce(list_sort(list(support_id) FILTER (label = 'Non-sensitive')), []) AS negative_ids
     FROM rec, (SELECT unnest(range(1, 4)) AS context_index) GROUP BY ALL""",
     "duplicate_baseline": f"""
     WITH {_POOL}, o AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY dataset, seed) AS c FROM pool WINDOW w AS (PARTITION BY dataset, seed ORDER BY label || lpad(rank::VARCHAR, 3, '0')))
