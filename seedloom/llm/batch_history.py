@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import Workspace, table
-from .fingerprint import DIRECT_BLOCK, SALTS, Summary, blocks, direct_pairs, leader_pairs, signatures, verified
+from .fingerprint import Summary, blocks, direct_pairs, leader_pairs, signatures, slice_of, slices, verified
 
 PIVOTS = 96
 CODE = 4
@@ -67,11 +67,11 @@ def _range(threshold: float) -> Column:
 
 def _rest_of_large(large: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     """Pairs (earlier a, later b) of large cells for classes b that no link was found for yet, joined by ranges of the
-    size and salted within them, as a cell may hold a third of all classes."""
+    size and sliced within them, as a cell may hold a third of all classes."""
     late = large.join(found, "id", "left_anti").withColumn("range", F.explode(F.sequence(_range(threshold) - 1, _range(threshold) + 1)))
-    late = late.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    early = large.withColumn("range", _range(threshold)).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.range") == F.col("b.range")) & (F.col("a.salt") == F.col("b.salt"))
+    late = late.withColumn("slice", F.explode(F.sequence(F.lit(0), slices() - 1)))
+    early = large.withColumn("range", _range(threshold)).withColumn("slice", slice_of())
+    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.range") == F.col("b.range")) & (F.col("a.slice") == F.col("b.slice"))
     joined = early.alias("a").join(late.alias("b"), same & (F.col("a.batch") < F.col("b.batch")) & PIVOT_TABLE.near("a", "b", threshold))
     return joined.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
@@ -91,15 +91,15 @@ def repeats_of_earlier(df: DataFrame, id_col: str = "row_id", text_col: str = "t
     rows = work.keep(pivot_table(df, id_col, text_col, batch_col), "pivots")
     classes = work.keep(_classes(rows), "classes")
     texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    blocked = blocks(classes.drop("same"))
+    blocked = blocks(work, classes.drop("same"))
     earlier = lambda a, b: F.col(f"{a}.batch") < F.col(f"{b}.batch")
-    direct = direct_pairs(blocked, threshold, earlier, PIVOT_TABLE)
-    led = leader_pairs(blocked, threshold, ["batch", "id"], PIVOT_TABLE, earlier)
-    pairs = work.keep(direct.union(led).distinct(), "pairs")
+    near = direct_pairs(blocked, threshold, earlier, PIVOT_TABLE)
+    if blocked.any_large:
+        near = near.union(leader_pairs(blocked, threshold, ["batch", "id"], PIVOT_TABLE, earlier)).distinct()
+    pairs = work.keep(near, "pairs")
     found = work.keep(verified(pairs, texts, threshold).select(F.col("b").alias("id")).distinct(), "found")
-    large = work.keep(blocked.filter(F.col("m") > DIRECT_BLOCK).drop("m"), "large")
-    if not large.isEmpty():
-        pairs = work.keep(_rest_of_large(large, found, threshold), "pairs")
+    if blocked.any_large:
+        pairs = work.keep(_rest_of_large(blocked.large, found, threshold), "pairs")
         found = found.union(verified(pairs, texts, threshold).select(F.col("b").alias("id"))).distinct()
     known = classes.join(found.withColumn("linked", F.lit(True)), "id", "left").select("same", "n", F.col("batch").alias("first"), "linked")
     hit = rows.select("same", "n", "id", "batch").join(known, ["same", "n"]).filter((F.col("batch") > F.col("first")) | F.col("linked"))

@@ -26,7 +26,10 @@ ROWS = 6
 MAX_HAMMING = 50
 #: A block of at most so many classes is joined with itself; a larger one takes the leader path, which is as exact.
 DIRECT_BLOCK = 256
-SALTS = 16
+#: Classes of a large block that one task handles together, on average.
+SLICE = 4096
+#: A list of large blocks up to this length is broadcast, 16 bytes each.
+SHORT_LIST = 200_000
 
 _RNG = np.random.default_rng(20240229)
 _MUL = _RNG.integers(1, 2**32, BLOCKS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -122,29 +125,54 @@ def signatures(df: DataFrame, id_col: str, text_col: str, carry: dict[str, str]
     return chosen.filter(F.col("id").isNotNull()).mapInArrow(run, schema)
 
 
-def blocks(classes: DataFrame) -> DataFrame:
-    """One row per class and block with the block's size ``m``; a single shuffle, which all uses of it share."""
-    spark = classes.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = classes.select(F.explode("keys").alias("key"), *(c for c in classes.columns if c != "keys")).repartition(parts, "key")
-    return rows.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key")))
+@dataclass
+class Blocks:
+    """Classes by block: ``small`` has the blocks of up to ``DIRECT_BLOCK`` classes, ``large`` the others with their size ``m``."""
 
+    small: DataFrame
+    large: DataFrame
+    any_large: bool
 
-def direct_pairs(blocked: DataFrame, threshold: float, also: Callable[[str, str], Column], summary: Summary = FINGERPRINT) -> DataFrame:
-    """Distinct candidate pairs (a, b) of the blocks of up to ``DIRECT_BLOCK`` classes."""
-    small = blocked.filter(F.col("m").between(2, DIRECT_BLOCK))
+
+def blocks(work: Workspace, classes: DataFrame) -> Blocks:
+    """One row per class and block. Blocks are counted first, which combines a hot block's rows before the shuffle, so
+    that no task ever gathers a large block; the list of large ones is broadcast only if it is short."""
+    fields = [F.col(c) for c in classes.columns if c != "keys"]
+    rows = classes.select(F.explode("keys").alias("key"), *fields)
+    counts = classes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+    large = work.keep(counts.filter(F.col("m") > DIRECT_BLOCK), "large-blocks")
+    known = large.count()
+    listed = F.broadcast(large) if known <= SHORT_LIST else large
+    parts = 4 * int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small = rows.join(listed.select("key"), "key", "left_anti") if known else rows
+    return Blocks(small.repartition(parts, "key"), rows.join(listed, "key"), known > 0)
+
+
+def slices() -> Column:
+    """Number of slices that a large block is cut into."""
+    return F.ceil(F.col("m") / SLICE).cast("int")
+
+
+def slice_of() -> Column:
+    return F.pmod(F.xxhash64("id"), slices()).cast("int")
+
+
+def direct_pairs(blocked: Blocks, threshold: float, also: Callable[[str, str], Column], summary: Summary = FINGERPRINT) -> DataFrame:
+    """Distinct candidate pairs (a, b) of the small blocks; both sides of the join share one shuffle."""
+    small = blocked.small
     joined = small.alias("a").join(small.alias("b"), (F.col("a.key") == F.col("b.key")) & also("a", "b") & summary.near("a", "b", threshold))
     return joined.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
-def leader_pairs(blocked: DataFrame, threshold: float, order: list[str], summary: Summary = FINGERPRINT, also: Callable[[str, str], Column] | None = None) -> DataFrame:
-    """Candidate pairs (a, b) of larger blocks: each class with the block's first one and with the one before it."""
-    fields = [c for c in blocked.columns if c not in ("key", "m")]
-    large = blocked.filter(F.col("m") > DIRECT_BLOCK)
-    by = Window.partitionBy("key").orderBy(*order)
-    rows = large.withColumn("first", F.first(F.struct(*fields)).over(by)).withColumn("before", F.lag(F.struct(*fields)).over(by))
-    here = F.struct(*fields).alias("b")
-    both = rows.select(F.explode(F.array("first", "before")).alias("a"), here)
+def leader_pairs(blocked: Blocks, threshold: float, order: list[str], summary: Summary = FINGERPRINT, also: Callable[[str, str], Column] | None = None) -> DataFrame:
+    """Candidate pairs (a, b) of large blocks: each class with the block's first one, and with the one before it in its
+    slice of the block."""
+    fields = [c for c in blocked.large.columns if c not in ("key", "m")]
+    ordered = [*order, *(c for c in fields if c not in order)]
+    first = blocked.large.groupBy("key").agg(F.min(F.struct(*ordered)).alias("first"))
+    by = Window.partitionBy("key", "slice").orderBy(*order)
+    rows = blocked.large.withColumn("slice", slice_of()).withColumn("before", F.lag(F.struct(*ordered)).over(by)).join(first, "key")
+    both = rows.select(F.explode(F.array("first", "before")).alias("a"), F.struct(*ordered).alias("b")).filter("a is not null")
     wanted = summary.near("a", "b", threshold) & (also("a", "b") if also else F.col("a.id") != F.col("b.id"))
     return both.filter(wanted).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 

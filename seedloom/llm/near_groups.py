@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import Workspace, table
-from .fingerprint import DIRECT_BLOCK, FINGERPRINT, SALTS, blocks, components, direct_pairs, leader_pairs, signatures, verified
+from .fingerprint import FINGERPRINT, blocks, components, direct_pairs, leader_pairs, signatures, slice_of, slices, verified
 
 
 def near_duplicate_groups(df: DataFrame, id_col: str = "row_id", text_col: str = "text", threshold: float = 0.70) -> DataFrame:
@@ -29,15 +29,15 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "row_id", text_col: str =
     signed = work.keep(signatures(df, id_col, text_col), "signatures")
     classes = work.keep(signed.groupBy("same", "n").agg(F.min("id").alias("id"), *(F.first(w).alias(w) for w in FINGERPRINT.columns), F.first("keys").alias("keys")).drop("same"), "classes")
     texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    blocked = blocks(classes)
-    direct = direct_pairs(blocked, threshold, lambda a, b: F.col(f"{a}.id") < F.col(f"{b}.id"))
-    led = leader_pairs(blocked, threshold, ["id"])
-    pairs = work.keep(direct.union(led).distinct(), "pairs")
+    blocked = blocks(work, classes)
+    near = direct_pairs(blocked, threshold, lambda a, b: F.col(f"{a}.id") < F.col(f"{b}.id"))
+    if blocked.any_large:
+        near = near.union(leader_pairs(blocked, threshold, ["id"])).distinct()
+    pairs = work.keep(near, "pairs")
     links = work.keep(verified(pairs, texts, threshold), "links")
     found = work.keep(components(work, links), "components")
-    large = work.keep(blocked.filter(F.col("m") > DIRECT_BLOCK).drop("m"), "large")
-    if not large.isEmpty():
-        across = _across(large, found, threshold)
+    if blocked.any_large:
+        across = _across(blocked.large, found, threshold)
         pairs = work.keep(across, "pairs")
         late = work.keep(verified(pairs, texts, threshold), "links")
         found = work.keep(components(work, links.union(late)), "components")
@@ -51,17 +51,15 @@ def _across(large: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     """Candidate pairs of large blocks whose classes lie in different components.
 
     Of each block only the classes outside its largest component meet the others, so a block that is one component
-    costs nothing. Both sides are salted: a block may hold a third of all classes.
+    costs nothing. The others are cut into slices, as a block may hold a third of all classes, and the few go to each.
     """
     members = large.join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
     counts = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    by = Window.partitionBy("key").orderBy(F.desc("c"), "root")
-    major = counts.withColumn("at", F.row_number().over(by)).filter("at = 1").select("key", F.col("root").alias("major"))
-    mixed = counts.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("key")
-    marked = members.join(mixed, "key", "left_semi").join(major, "key")
-    few = marked.filter(F.col("root") != F.col("major")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    all_ = marked.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.salt") == F.col("b.salt"))
+    mixed = counts.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("c", "root")).alias("top")).filter("roots > 1")
+    marked = members.join(mixed.select("key", F.col("top.root").alias("major")), "key")
+    few = marked.filter(F.col("root") != F.col("major")).withColumn("slice", F.explode(F.sequence(F.lit(0), slices() - 1)))
+    all_ = marked.withColumn("slice", slice_of())
+    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.slice") == F.col("b.slice"))
     once = (F.col("b.root") == F.col("b.major")) | (F.col("a.id") < F.col("b.id"))
     joined = few.alias("a").join(all_.alias("b"), same & (F.col("a.root") != F.col("b.root")) & once & FINGERPRINT.near("a", "b", threshold))
     return joined.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()

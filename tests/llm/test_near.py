@@ -66,9 +66,9 @@ def frame(spark, texts, **more):
 
 @pytest.fixture
 def tiny_blocks(monkeypatch):
-    """Every block of more than two classes takes the leader path."""
-    for module in (fingerprint, near_groups, batch_history):
-        monkeypatch.setattr(module, "DIRECT_BLOCK", 2)
+    """Every block of more than two classes takes the leader path, in slices of three."""
+    monkeypatch.setattr(fingerprint, "DIRECT_BLOCK", 2)
+    monkeypatch.setattr(fingerprint, "SLICE", 3)
 
 
 def test_similarity_follows_the_statement():
