@@ -89,9 +89,9 @@ def packed(sizes: DataFrame, packs: DataFrame, id_col: str, size_col: str = "n_t
 def _merged(work: Workspace, filled: DataFrame, capacities: list[tuple[str, int]], limit: int) -> DataFrame:
     """(pack, part, window, container_id): windows that aren't full go into each other, round by round.
 
-    A round hands the windows of ``MERGE`` partitions to one task per capacity; those with the most room, at most
-    ``limit`` of each partition, are packed anew, fullest first, and the rest keep their place. So a task never
-    holds more than ``MERGE * limit`` windows.
+    A round hands to one task, per capacity, the ``limit`` windows with the most room of each of ``MERGE`` partitions, to be
+    packed into each other, fullest first; of the outcome again ``limit`` windows go on to the next round. So a task
+    never holds more than ``MERGE * limit`` windows, however many partitions there are.
     """
 
     def repack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -101,22 +101,30 @@ def _merged(work: Workspace, filled: DataFrame, capacities: list[tuple[str, int]
         lead = {}
         for s, p, w in zip(slot, pdf["part"], pdf["window"], strict=True):
             lead.setdefault(s, (p, w))
-        return pd.DataFrame({"pack": pdf["pack"], "part": pdf["part"], "window": pdf["window"], "to_part": [lead[s][0] for s in slot], "to_window": [lead[s][1] for s in slot]})
+        return pd.DataFrame({"pack": pdf["pack"], "part": pdf["part"], "window": pdf["window"], "fill": pdf["fill"], "to_part": [lead[s][0] for s in slot], "to_window": [lead[s][1] for s in slot]})
 
-    capacity = F.create_map(*(F.lit(x) for k, (_, c) in enumerate(capacities) for x in (k, c))) if capacities else F.create_map(F.lit(0), F.lit(1))
-    place = filled.select("pack", "part", "window", F.col("part").alias("to_part"), F.col("window").alias("to_window"), "fill")
-    span = 1
+    if not capacities:
+        return filled.select("pack", "part", "window", F.lit("").alias("container_id")).limit(0)
+    capacity = F.element_at(F.create_map(*(F.lit(x) for k, (_, c) in enumerate(capacities) for x in (k, c))), F.col("pack"))
+
+    def loosest(windows: DataFrame, span: int) -> DataFrame:
+        """Of every ``span`` partitions the ``limit`` windows with the most room."""
+        by = Window.partitionBy("pack", F.floor(F.col("part") / span).cast("int")).orderBy("fill", "part", "window")
+        return windows.filter(F.col("fill") < capacity).withColumn("at", F.row_number().over(by)).filter(F.col("at") <= limit).drop("at")
+
+    place = filled.select("pack", "part", "window", F.col("part").alias("to_part"), F.col("window").alias("to_window"))
     parts = (filled.agg(F.max("part")).first()[0] or 0) + 1
-    while span < parts * MERGE and capacities:
-        now = place.groupBy("pack", F.col("to_part").alias("part"), F.col("to_window").alias("window")).agg(F.sum("fill").alias("fill"))
-        group = F.floor(F.col("part") / (span * MERGE)).cast("int")
-        room = Window.partitionBy("pack", F.floor(F.col("part") / span).cast("int")).orderBy("fill", "part", "window")
-        loose = now.filter(F.col("fill") < F.element_at(capacity, F.col("pack"))).withColumn("at", F.row_number().over(room)).filter(F.col("at") <= limit)
-        step = loose.drop("at").withColumn("group", group).groupBy("pack", "group").applyInPandas(repack, "pack int, part int, window bigint, to_part int, to_window bigint")
-        step = step.select("pack", F.col("part").alias("to_part"), F.col("window").alias("to_window"), F.col("to_part").alias("new_part"), F.col("to_window").alias("new_window"))
-        joined = place.join(step, ["pack", "to_part", "to_window"], "left")
-        place = work.keep(joined.select("pack", "part", "window", F.coalesce("new_part", "to_part").alias("to_part"), F.coalesce("new_window", "to_window").alias("to_window"), "fill"), "windows")
+    loose, span = loosest(filled, 1), 1
+    while span < parts:
         span *= MERGE
+        group = F.floor(F.col("part") / span).cast("int").alias("group")
+        step = loose.select("*", group).groupBy("pack", "group").applyInPandas(repack, "pack int, part int, window bigint, fill bigint, to_part int, to_window bigint")
+        step = work.keep(step, "merged")
+        moved = step.select("pack", F.col("part").alias("to_part"), F.col("window").alias("to_window"), F.col("to_part").alias("new_part"), F.col("to_window").alias("new_window"))
+        joined = place.join(moved, ["pack", "to_part", "to_window"], "left")
+        place = work.keep(joined.select("pack", "part", "window", F.coalesce("new_part", "to_part").alias("to_part"), F.coalesce("new_window", "to_window").alias("to_window")), "windows")
+        merged = step.groupBy("pack", F.col("to_part").alias("part"), F.col("to_window").alias("window")).agg(F.sum("fill").alias("fill"))
+        loose = loosest(merged, span)
     return place.select("pack", "part", "window", F.concat_ws("-", "pack", "to_part", "to_window").alias("container_id"))
 
 
