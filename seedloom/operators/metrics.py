@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import LABELS, PARSE_FAILED
 
+#: Slices of the score range from 0 to 1.
+SLICES = 4096
+
 
 def f1_of_label(true: Column, pred: Column, label: str) -> Column:
     hit = F.count_if((true == label) & (pred == label))
@@ -62,17 +65,28 @@ def argmax(values: Column) -> Column:
 def threshold_sweep(scores: DataFrame, by: list[str]) -> DataFrame:
     """(by.., threshold, accuracy, macro_f1) of all thresholds worth trying on (by.., score, positive).
 
-    Those are one below all scores, one above all, and the midpoints between neighbouring scores. Rows are first counted
-    per distinct score, so the running sums see each score once. Macro F1 is over the labels that occur.
+    Those are one below all scores, one above all, and the midpoints between neighbouring scores. Rows are counted per
+    distinct score and per slice of scores; running sums go over the slices, at most ``SLICES`` of a group, and inside
+    each slice, so no task orders a whole group. Macro F1 is over the labels that occur.
     """
     hits = F.count_if(F.col("positive"))
     counted = scores.groupBy(*by, "score").agg(hits.alias("pos"), (F.count(F.lit(1)) - hits).alias("neg"))
-    every, upto = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("score")
-    below = upto.rowsBetween(Window.unboundedPreceding, -1)
-    rows = counted.select(
-        *by, "score", F.lag("score").over(upto).alias("before"), F.lead("score").over(upto).alias("after"),
+    counted = counted.withColumn("slice", F.floor(F.col("score") * SLICES).cast("bigint"))
+    order = Window.partitionBy(*by).orderBy("slice")
+    every, before = Window.partitionBy(*by), order.rowsBetween(Window.unboundedPreceding, -1)
+    sums = counted.groupBy(*by, "slice").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.min("score").alias("low"), F.max("score").alias("high"))
+    sums = sums.select(
+        *by, "slice", F.lag("high").over(order).alias("last"), F.lead("low").over(order).alias("next"),
         F.sum("pos").over(every).alias("all_pos"), F.sum("neg").over(every).alias("all_neg"),
-        F.coalesce(F.sum("pos").over(below), F.lit(0)).alias("fn"), F.coalesce(F.sum("neg").over(below), F.lit(0)).alias("tn"),
+        F.coalesce(F.sum("pos").over(before), F.lit(0)).alias("base_pos"), F.coalesce(F.sum("neg").over(before), F.lit(0)).alias("base_neg"),
+    )
+    joined = counted.alias("c").join(sums.alias("s"), [F.col(f"c.{x}").eqNullSafe(F.col(f"s.{x}")) for x in (*by, "slice")])
+    joined = joined.select(*(F.col(f"c.{x}").alias(x) for x in (*by, "slice", "score", "pos", "neg")), "last", "next", "all_pos", "all_neg", "base_pos", "base_neg")
+    inner = Window.partitionBy(*by, "slice").orderBy("score")
+    below = inner.rowsBetween(Window.unboundedPreceding, -1)
+    rows = joined.select(
+        *by, "score", F.coalesce(F.lag("score").over(inner), "last").alias("before"), F.coalesce(F.lead("score").over(inner), "next").alias("after"), "all_pos", "all_neg",
+        (F.col("base_pos") + F.coalesce(F.sum("pos").over(below), F.lit(0))).alias("fn"), (F.col("base_neg") + F.coalesce(F.sum("neg").over(below), F.lit(0))).alias("tn"),
     )
     at = F.when(F.col("before").isNull(), F.lit(-1e-12)).otherwise((F.col("before") + F.col("score")) / 2)
     lows = rows.select(*by, at.alias("threshold"), "all_pos", "all_neg", "fn", "tn")
