@@ -37,11 +37,13 @@ CALENDAR = [
     *"monday tuesday wednesday thursday friday saturday sunday".split(),
 ]
 TITLES = ["dr", "mr", "mrs", "ms", "miss", "prof", "sir", "herr", "frau", "mme", "sra"]
+HEADS = "sensitive label text fwd re edit update note subject".split()
 PARTICLES = ["van", "der", "den", "von", "de", "del", "della", "di", "da", "du", "la", "le", "ten", "ter"]
 STREET_WORDS = [
     *"street st road rd avenue ave lane ln close court ct drive dr way gardens mews terrace place square crescent".split(),
     *"boulevard blvd grove walk row parade quay".split(),
 ]
+DIGIT_WORDS = "zero one two three four five six seven eight nine oh double triple".split()
 STREET_ENDS = ["strasse", "straße", "weg", "platz", "allee", "gasse", "straat", "laan"]
 STREET_STARTS = ["rue", "avenue", "boulevard", "chemin", "impasse", "allée", "calle", "via"]
 UNIT_WORDS = ["flat", "apt", "apartment", "unit", "suite", "house", "studio"]
@@ -72,19 +74,25 @@ _UNIT_END = re.compile(rf"\b(?:{'|'.join(UNIT_WORDS)})\.?\s(?:{_NO},?\s)?$", re.
 _NAME_END = re.compile(rf"[^\W\d_][\w'’-]*(?:{'|'.join(STREET_ENDS)})\s$", re.IGNORECASE)
 _ENDS = tuple(STREET_ENDS)
 _UNIT_NO_END = re.compile(rf"\b(?:{'|'.join(UNIT_WORDS)})\.?\s{_NO},?\s$", re.IGNORECASE)
+_DIGIT_WORD = "|".join(DIGIT_WORDS)
 _CHUNK = r"[A-Za-z]{0,6}\d[\dA-Za-z]*"
 _NUMBER = re.compile(
     rf"(?<![\w@.])(?:(?!(?:on|no|at|to|by|is|id|ni|or|in|of|my)\b)[A-Za-z]{{2}} (?=\d\d ?\d\d ?\d\d ?[A-Za-z]?\b)|[A-Za-z]{{1,4}}[/-](?=\d))?[+(]{{0,2}}{_CHUNK}"
     rf"(?:(?: ?[-/.] ?|[ \xa0]|\) ?-?| ?\(){{1,2}}{_CHUNK})*",
     re.IGNORECASE,
 )
+_HEADS = frozenset(HEADS)
 _NEVER = frozenset(CALENDAR) | frozenset(TITLES)
+_SPOKEN = re.compile(rf"\b(?:{_DIGIT_WORD})(?:[ ,-]{{1,2}}(?:{_DIGIT_WORD})\b){{6,}}", re.IGNORECASE)
 _AMOUNT = re.compile(r"\d+[.,]\d{1,2}")
 _NOT_DIGIT = re.compile(r"\D+")
 _LEFT = re.compile(r"[^\W_]+|[^\w\s]")
 
 
 def _shape(text: str) -> str:
+    """Digits as 9, letters as a; a number in words has a shape of its own."""
+    if not any(c.isdigit() for c in text):
+        return "words"
     return re.sub(r"[^\W\d_]+", lambda m: "a" * min(len(m.group()), 4), re.sub(r"\d", "9", text)).lower()
 
 
@@ -139,7 +147,8 @@ class Extractor:
             if _free(start, end, taken):
                 found.append(("address", start, end, text[start:end].lower(), [], "address"))
                 taken.append((start, end))
-        for start, end in self._numbers(text, runs):
+        spoken = [m.span() for m in _SPOKEN.finditer(text)] if any(w in text or w.upper() in text for w in ("five", "zero", "oh ")) else []
+        for start, end in [*self._numbers(text, runs), *spoken]:
             if _free(start, end, taken):
                 found.append(self._number(text, start, end))
                 taken.append((start, end))
@@ -219,7 +228,9 @@ class Extractor:
             known = low in names
             if not known and len(w) > 2 and w[0].isupper():
                 # an ordinary word with a capital inside a sentence may be a name, too
-                inside = w[1:].islower() and (text[s - 1 : s] == " " and text[s - 2 : s - 1] not in ".!?>\n" or marks and words[len(marks) - 1][2].lower() in TITLES)
+                before = text[max(0, s - 4) : s].rstrip()[-1:]
+                last = words[len(marks) - 1][2].lower() if marks else ""
+                inside = w[1:].islower() and (before.isalpha() or before in ",;" and before != "" or before == ":" and last not in _HEADS or last in TITLES)
                 known = low not in ordinary or inside and low not in fixed
             marks.append(known)
         i, count = 0, len(words)
@@ -249,8 +260,11 @@ class Extractor:
             i = last + 1
 
     def _inverted(self, family: list[tuple[int, int, str]], given: str) -> bool:
-        """Is this 'Family, Given'?"""
-        return "family" in self.names.get(family[-1][2].lower(), "") and "given" in self.names.get(given.lower(), "") and not any("given" in self.names.get(w.lower(), "") and "family" not in self.names.get(w.lower(), "") for _, _, w in family)
+        """Is this 'Family, Given'? The family name may be unlisted, the given name may not."""
+        kinds = [self.names.get(w.lower(), "") for _, _, w in family]
+        if "given" not in self.names.get(given.lower(), "") or any("given" in k and "family" not in k for k in kinds):
+            return False
+        return "family" in kinds[-1] or family[-1][2].lower() not in self.ordinary
 
     def _person(self, text: str, words: list[tuple[int, int, str]], first: int, last: int) -> tuple[str, int, int, str, list[str], str | None]:
         parts = [w.lower().removesuffix("'s").removesuffix("’s") for _, _, w in words[first : last + 1]]
@@ -279,7 +293,8 @@ class Extractor:
         before = words[back - 2][2].lower() if back > 1 else "^"
         patterns = [f"l {lr[0]}", f"r {lr[1]}", f"l2 {before} {lr[0]}", f"lr {lr[0]} {lr[1]}"]
         seed = None
-        if set(parts) & set(FIRM_WORDS) or right in FIRM_WORDS or after == "&":
+        beyond = words[last + 2][2].lower() if right == "amp" and last + 2 < len(words) else right
+        if set(parts) & set(FIRM_WORDS) or beyond in FIRM_WORDS:
             seed = "firm"
         elif any(p in self.seeds for p in parts):
             seed = "name"

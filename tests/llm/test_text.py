@@ -72,6 +72,15 @@ def test_spellings_of_addresses(text):
     assert [text[s:].startswith("ann") for g, s, *_ in e.candidates(text) if g == "email"] == [True]
 
 
+def test_numbers_in_words_and_escaped_signs():
+    e = personal_info.Extractor(frozenset("please ask to call and i live at the lamp shop".split()), {"ann": "given", "bela": "given"})
+    text = "please ask Ann to call two one seven five five five zero one"
+    assert [(g, text[s:]) for g, s, *_ in e.candidates(text) if g == "number"] == [("number", "two one seven five five five zero one")]
+    seeds = [c[5] for c in e.candidates("Ann &amp; Bela live at the lamp; Norden &amp; Sons too") if c[0] == "name"]
+    assert seeds == ["name", "name", "firm", "firm"]
+    assert [t[1] for t in e.candidates("the lamp.  Ask Ann to call") if t[0] == "name"] == [15]
+
+
 def test_handles_amounts_and_dates_are_none():
     e = personal_info.Extractor(frozenset("follow for news it costs on".split()), {"april": "given"})
     kinds = [c[0] for c in e.candidates("follow @lamp_shop for news, it costs 1583.50 on 13 March 2020")]
