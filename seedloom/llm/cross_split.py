@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import Workspace, gram_codes, jaccard, normalise, table
+from .batch_history import PIVOT_TABLE
+from .fingerprint import hashed_grams
 
 #: Characters of a passage, in a text of at least twelve of them; a shorter text is cut into sixteen passages, of at
 #: least three characters.
@@ -68,17 +70,23 @@ def coverage(parts: list[tuple[int, str]], scanned: str) -> float:
 
 
 def _prepared(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, norm) per distinct text with at least one 3-gram, ``id`` being the smallest id of the text."""
+    """(id, n, norm, f0..) per distinct text with at least one 3-gram: its smallest id, its number of 3-grams, the text
+    normalised, and its pivot code, which bounds distances from below."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            sizes = pa.array([len(gram_codes(t)) for t in texts], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array([normalise(t) for t in texts], pa.string())], ["id", "n", "norm"])
+            codes = [gram_codes(t) for t in texts]
+            bits = np.zeros((len(texts), PIVOT_TABLE.words), np.int64)
+            for i, c in enumerate(codes):
+                if len(c):
+                    bits[i] = PIVOT_TABLE.compute(hashed_grams(c), None)
+            columns = [batch.column(0), pa.array([len(c) for c in codes], pa.int32()), pa.array([normalise(t) for t in texts], pa.string())]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(bits[:, w]) for w in range(PIVOT_TABLE.words))], ["id", "n", "norm", *PIVOT_TABLE.columns])
 
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("id is not null and length(text) >= 3")
     one = rows.groupBy(F.md5(F.col("text").cast("binary")).alias("copy")).agg(F.min("id").alias("id"), F.first("text").alias("text"))
-    return one.select("id", "text").mapInArrow(run, "id bigint, n int, norm string").filter("n > 0")
+    return one.select("id", "text").mapInArrow(run, "id bigint, n int, norm string" + "".join(f", {w} bigint" for w in PIVOT_TABLE.columns)).filter("n > 0")
 
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,6 +97,10 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first].astype(np.int64), np.diff(first, append=len(keys))
 
 
+def _bits(rows: pa.Table) -> np.ndarray:
+    return np.stack([rows[w].to_numpy() for w in PIVOT_TABLE.columns], axis=1).view(np.uint64)
+
+
 class _Shard:
     """The automaton of one shard's passages, with the records that each passage belongs to."""
 
@@ -100,6 +112,7 @@ class _Shard:
         system, place = pyarrow.fs.FileSystem.from_uri(path)
         rows = pq.read_table(place, filesystem=system)
         self.ids, self.texts = rows["id"].to_numpy(), rows["norm"].to_pylist()
+        self.sizes, self.bits = rows["n"].to_numpy(), _bits(rows)
         self.parts = [passages(t) for t in self.texts]
         often = Counter(p for parts in self.parts for _, p in parts)
         index: dict[str, int] = {}
@@ -148,13 +161,14 @@ class _Shard:
 
 def _scan(shards: list[tuple[str, int, int]], threshold: float):
     def matched(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        sizes = rows["n"].to_numpy()
+        sizes, codes_of_rows = rows["n"].to_numpy(), _bits(rows)
         for path, low, high in shards:
             fit = np.flatnonzero((sizes >= threshold * low) & (sizes * threshold <= high))
             if not len(fit):
                 continue
             shard = _Shard(path)
             ids, texts = rows["id"].to_numpy()[fit], rows["norm"].take(pa.array(fit)).to_pylist()
+            counts, bits = sizes[fit], codes_of_rows[fit]
             left, right, at = [], [], 0
             while at < len(texts):
                 size, end = 0, at
@@ -162,7 +176,11 @@ def _scan(shards: list[tuple[str, int, int]], threshold: float):
                     size += len(texts[end])
                     end += 1
                 last, codes = -1, np.empty(0, np.int64)
-                for text, record in zip(*shard.candidates(texts[at:end]), strict=True):
+                found, records = shard.candidates(texts[at:end])
+                # the distance is at least that of the pivot codes, so this loses no pair of the threshold
+                apart = np.bitwise_count(bits[at + found] ^ shard.bits[records]).sum(axis=1)
+                may = apart <= (1 - threshold) / (1 + threshold) * (counts[at + found] + shard.sizes[records]) + 1e-9
+                for text, record in zip(found[may], records[may], strict=True):
                     scanned = texts[at + text]
                     if coverage(shard.parts[record], f" {scanned}") >= MIN_COVERAGE:
                         if text != last:
@@ -206,7 +224,8 @@ def cross_split_overlaps(train: DataFrame, evaluation: DataFrame, id_col: str =
     written = work.keep(cut.repartitionByRange(count, "n", "id"), "shards")
     sizes = written.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
     shards = [(r.path, r.low, r.high) for r in sizes.orderBy("low", "path").collect()]  # one row per shard
-    spread = scanned.repartitionByRange(spark.sparkContext.defaultParallelism, "n", "id")
+    # ranges of the size keep the shards of a task few; two tasks a core even out their different costs
+    spread = scanned.repartitionByRange(2 * spark.sparkContext.defaultParallelism, "n", "id")
     pairs = work.keep(spread.mapInArrow(_scan(shards, threshold), "train_id bigint, eval_id bigint"), "pairs")
     return _expanded(pairs, train, evaluation, id_col, text_col)
 
