@@ -1,23 +1,21 @@
-"""Records that evaluation splits share with the training split (problem 3): sharded Aho-Corasick scans.
-
-Each evaluation text, normalised, is cut into passages of equal length that begin at words. Shards of passages become automata, and every
-training text of a possible size runs through them. The matched intervals of a pair are merged into the covered share
-of the evaluation text, and pairs above ``MIN_COVERAGE`` are compared exactly.
-
-Why passages suffice: at similarity t an edit of one character costs an evaluation text of n 3-grams about 2 + 3t of
-the (1 - t) * n steps it may lose, so fewer than 0.075 n edits remain possible at t = 0.7, and each of them breaks one
-passage. Texts under 192 characters have sixteen passages, more than such edits; in longer texts single-character
-edits spread as evenly as that could break almost all passages of 16 characters, but edits of words or clauses, which
-cost many more 3-grams each, leave most of them whole. Against brute force on the test tables (370 pairs) the least
-coverage of a true pair was 0.58.
+"""Records that evaluation splits share with the training split (problem 3): a scan with pivot codes and an exact check.
+
+The pivot code of a text (problem 1) bounds its distance to any other from below: the Hamming distance of two codes is at
+most the number of 3-grams that one text has and the other hasn't. A pair of similarity t has at most
+(1 - t) / (1 + t) * (n + m) of those, so codes further apart than that rule a pair out without loss; all others are
+compared exactly. Every training text meets the codes of all evaluation texts of a possible size. Where in the texts
+the shared 3-grams stand doesn't matter, so words in another order and scattered edits of single characters are found
+as copies are.
+
+Verbatim passages can't select the pairs: words swapped in pairs leave no passage of 16 characters whole at a
+similarity of 0.75. Passages of 3 characters can without loss, but 48,000 evaluation texts gave each training text
+35,000 places to look at, more work than all codes.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,34 +26,25 @@ from .base import Workspace, gram_codes, jaccard, normalise, table
 from .batch_history import PIVOT_TABLE
 from .fingerprint import hashed_grams
 
-#: Characters of a passage, in a text of at least twelve of them; a shorter text is cut into sixteen passages, of at
+#: 3-grams of the texts of one shard: bounds a worker's memory to about 200 MB.
+SHARD_PASSAGES = 10_000_000
+#: Training and evaluation texts whose codes are compared together: their distances stay in a core's cache.
+ROWS, COLUMNS = 32, 4096
+#: Allowance for rounding in bounds.
+EPS = 1e-6
+#: Characters of a verbatim passage, in a text of at least twelve of them; a shorter text is cut into sixteen, of at
 #: least three characters.
 PASSAGE, LONG, PASSAGES, SHORTEST = 16, 12, 16, 3
-#: Least share of an evaluation text that matched passages cover.
-MIN_COVERAGE = 0.3
-#: Of a text's passages, the most frequent eighth is left out of the automaton; coverage counts them again.
-LEFT_OUT = 8
-#: Passages of one automaton: bounds a worker's memory to about 250 MB.
-SHARD_PASSAGES = 500_000
-#: Characters of training text scanned at a time.
-CHUNK = 1_000_000
 
 
 def passages(text: str) -> list[tuple[int, str]]:
-    """(start, passage) of a normalised text, in which a space is put first.
+    """(start, passage) of a normalised text, in which a space is put first, contiguous from its start to its end.
 
-    Passages begin at spaces, so that an automaton leaves its root at word starts alone, and each begins at the first
-    space after its predecessor's end. Text with hardly any spaces is cut without regard to them.
+    With ``coverage`` this tells how much of a text another one holds verbatim; it selects no pairs.
     """
     text = f" {text}"
     width = PASSAGE if len(text) > LONG * PASSAGE else max(SHORTEST, len(text) // PASSAGES)
-    found, at = [], 0
-    while at >= 0 and at + width <= len(text):
-        found.append((at, text[at : at + width]))
-        at = text.find(" ", at + width)
-    if len(found) * width < len(text) / 3:
-        found = [(at, text[at : at + width]) for at in range(0, len(text) - width + 1, width)]
-    return found or [(0, text)]
+    return [(at, text[at : at + width]) for at in range(0, len(text), width)]
 
 
 def coverage(parts: list[tuple[int, str]], scanned: str) -> float:
@@ -89,67 +78,46 @@ def _prepared(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return one.select("id", "text").mapInArrow(run, "id bigint, n int, norm string" + "".join(f", {w} bigint" for w in PIVOT_TABLE.columns)).filter("n > 0")
 
 
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values and their counts; narrow integers sort several times faster."""
-    keys = keys.astype(np.uint32) if keys.max() < 1 << 32 else keys
-    keys.sort()
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first].astype(np.int64), np.diff(first, append=len(keys))
-
-
 def _bits(rows: pa.Table) -> np.ndarray:
     return np.stack([rows[w].to_numpy() for w in PIVOT_TABLE.columns], axis=1).view(np.uint64)
 
 
 class _Shard:
-    """The automaton of one shard's passages, with the records that each passage belongs to."""
+    """The evaluation records of one shard, by size."""
 
-    def __init__(self, path: str) -> None:
-        import ahocorasick
+    def __init__(self, path: str, threshold: float) -> None:
         import pyarrow.fs
         import pyarrow.parquet as pq
 
         system, place = pyarrow.fs.FileSystem.from_uri(path)
-        rows = pq.read_table(place, filesystem=system)
+        rows = pq.read_table(place, filesystem=system).sort_by("n")
+        self.share = (1 - threshold) / (1 + threshold)
+        self.threshold = threshold
         self.ids, self.texts = rows["id"].to_numpy(), rows["norm"].to_pylist()
-        self.sizes, self.bits = rows["n"].to_numpy(), _bits(rows)
-        self.parts = [passages(t) for t in self.texts]
-        often = Counter(p for parts in self.parts for _, p in parts)
-        index: dict[str, int] = {}
-        owner, piece, need = [], [], []
-        for record, parts in enumerate(self.parts):
-            distinct = sorted({p for _, p in parts}, key=lambda p: (-often[p], p))
-            out = len(distinct) // LEFT_OUT
-            # so many passages at least make up the coverage; those left out, and repeated ones, may be among them
-            need.append(max(1, math.ceil(MIN_COVERAGE * len(parts)) - out - (len(parts) - len(distinct))))
-            for p in distinct[out:]:
-                owner.append(record)
-                piece.append(index.setdefault(p, len(index)))
-        self.need = np.array(need)
-        order = np.argsort(piece, kind="stable")
-        self.owner = np.array(owner, np.int64)[order]
-        self.count = np.bincount(np.array(piece, np.int64), minlength=len(index))
-        self.at = np.cumsum(self.count) - self.count
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for p, i in index.items():
-            self.automaton.add_word(p, i)
-        self.automaton.make_automaton()
+        self.sizes, self.bits = rows["n"].to_numpy().astype(np.int64), np.ascontiguousarray(_bits(rows).T)
         self.codes: dict[int, np.ndarray] = {}
 
-    def candidates(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(text, record) positions of pairs that share enough of the passages in the automaton."""
-        ends = np.cumsum([len(t) + 2 for t in texts])
-        hits = np.fromiter(chain.from_iterable(self.automaton.iter(" " + "\n ".join(texts))), np.int64)
-        if not len(hits):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        text = np.searchsorted(ends, hits[::2], side="right")
-        text, part = np.divmod(_distinct(text * len(self.count) + hits[1::2])[0], len(self.count))
-        many = self.count[part]
-        start = np.repeat(self.at[part] - (np.cumsum(many) - many), many)
-        pairs, shared = _distinct(np.repeat(text, many) * len(self.texts) + self.owner[start + np.arange(len(start))])
-        text, record = np.divmod(pairs, len(self.texts))
-        enough = shared >= self.need[record]
-        return text[enough], record[enough]
+    def candidates(self, sizes: np.ndarray, bits: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Per text position the positions of all records that may reach the threshold; ``sizes`` ascend."""
+        for top in range(0, len(sizes), ROWS):
+            mine = sizes[top : top + ROWS]
+            first = int(np.searchsorted(self.sizes, self.threshold * mine[0] - EPS))
+            last = int(np.searchsorted(self.sizes, mine[-1] / self.threshold + EPS, side="right"))
+            found: list[list[np.ndarray]] = [[] for _ in mine]
+            for at in range(first, last, COLUMNS):
+                end = min(at + COLUMNS, last)
+                apart = np.zeros((len(mine), end - at), np.uint16)
+                for own, other in zip(bits[top : top + ROWS].T, self.bits[:, at:end], strict=True):
+                    apart += np.bitwise_count(own[:, None] ^ other)
+                # the bound of the largest texts first, then that of each pair
+                text, record = np.nonzero(apart <= int(self.share * (mine[-1] + self.sizes[end - 1]) + EPS))
+                near = apart[text, record] <= self.share * (mine[text] + self.sizes[at + record]) + EPS
+                text, record = text[near], record[near] + at
+                for i in np.unique(text):
+                    found[i].append(record[text == i])
+            for i, parts in enumerate(found):
+                if parts:
+                    yield top + i, np.concatenate(parts)
 
     def codes_of(self, record: int) -> np.ndarray:
         if record not in self.codes:
@@ -159,37 +127,31 @@ class _Shard:
         return self.codes[record]
 
 
+def _pairs(left: list[int], right: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["train_id", "eval_id"])
+
+
 def _scan(shards: list[tuple[str, int, int]], threshold: float):
     def matched(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        sizes, codes_of_rows = rows["n"].to_numpy(), _bits(rows)
+        rows = rows.sort_by("n")
+        sizes, bits = rows["n"].to_numpy().astype(np.int64), _bits(rows)
         for path, low, high in shards:
-            fit = np.flatnonzero((sizes >= threshold * low) & (sizes * threshold <= high))
+            fit = np.flatnonzero((sizes >= threshold * low - EPS) & (sizes * threshold <= high + EPS))
             if not len(fit):
                 continue
-            shard = _Shard(path)
-            ids, texts = rows["id"].to_numpy()[fit], rows["norm"].take(pa.array(fit)).to_pylist()
-            counts, bits = sizes[fit], codes_of_rows[fit]
-            left, right, at = [], [], 0
-            while at < len(texts):
-                size, end = 0, at
-                while end < len(texts) and (end == at or size < CHUNK):
-                    size += len(texts[end])
-                    end += 1
-                last, codes = -1, np.empty(0, np.int64)
-                found, records = shard.candidates(texts[at:end])
-                # the distance is at least that of the pivot codes, so this loses no pair of the threshold
-                apart = np.bitwise_count(bits[at + found] ^ shard.bits[records]).sum(axis=1)
-                may = apart <= (1 - threshold) / (1 + threshold) * (counts[at + found] + shard.sizes[records]) + 1e-9
-                for text, record in zip(found[may], records[may], strict=True):
-                    scanned = texts[at + text]
-                    if coverage(shard.parts[record], f" {scanned}") >= MIN_COVERAGE:
-                        if text != last:
-                            last, codes = text, gram_codes(scanned)
-                        if jaccard(codes, shard.codes_of(record)) >= threshold:
-                            left.append(int(ids[at + text]))
-                            right.append(int(shard.ids[record]))
-                at = end
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["train_id", "eval_id"])
+            shard = _Shard(path, threshold)
+            ids, texts = rows["id"].to_numpy()[fit], rows["norm"].take(pa.array(fit))
+            left: list[int] = []
+            right: list[int] = []
+            for text, records in shard.candidates(sizes[fit], bits[fit]):
+                codes = gram_codes(texts[text].as_py())
+                same = [int(shard.ids[r]) for r in records.tolist() if jaccard(codes, shard.codes_of(r)) >= threshold]
+                left += [int(ids[text])] * len(same)
+                right += same
+                if len(left) > 100_000:
+                    yield _pairs(left, right)
+                    left, right = [], []
+            yield _pairs(left, right)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -210,16 +172,15 @@ def cross_split_overlaps(train: DataFrame, evaluation: DataFrame, id_col: str =
     """All pairs (train_id, eval_id) of a training and an evaluation record of 3-gram similarity ``threshold`` or more.
 
     ``evaluation`` holds all evaluation splits, with ids that are unique over them. Both sides are scanned once per
-    distinct text and in ranges of their number of 3-grams, so a training text meets only the automata of records of a
-    possible size; each task reads the shards it needs from the shared folder. Null texts and texts under three
+    distinct text and in ranges of their number of 3-grams, so a training text meets only the records of a possible
+    size; each task reads the shards it needs from the shared folder. Null texts and texts under three
     characters pair with nothing; further columns are ignored; either side empty gives an empty result.
     """
     spark = train.sparkSession
     work = Workspace(spark, "cross-split")
     scanned = work.keep(_prepared(train, id_col, text_col), "train")
     cut = work.keep(_prepared(evaluation, id_col, text_col), "evaluation")
-    width = F.when(F.length("norm") >= LONG * PASSAGE, F.lit(PASSAGE)).otherwise(F.greatest(F.lit(SHORTEST), F.floor(F.length("norm") / PASSAGES)))
-    total = cut.agg(F.sum(F.ceil(F.length("norm") / width))).first()[0] or 0
+    total = cut.agg(F.sum("n")).first()[0] or 0
     count = max(1, math.ceil(total / SHARD_PASSAGES))
     written = work.keep(cut.repartitionByRange(count, "n", "id"), "shards")
     sizes = written.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.min("n").alias("low"), F.max("n").alias("high"))

@@ -192,3 +192,26 @@ def test_passages_cover_the_text_and_merge():
         assert cross_split.coverage(parts, f" {t}") == 1.0 and cross_split.coverage(parts, "") == 0.0
         assert sum(len(p) for _, p in parts) > len(t) / 2
     assert cross_split.coverage([(0, "abcd"), (2, "cdef")], "abcd") == 0.5
+
+
+def edited(text, kind, rng):
+    """A copy with neighbouring words swapped in pairs, or with substitutions of single characters, evenly or anywhere."""
+    if kind == "words swapped":
+        words = text.split(" ")
+        return " ".join(w for i in range(0, len(words), 2) for w in reversed(words[i : i + 2]))
+    places = range(7, len(text), 21) if kind == "even substitutions" else rng.sample(range(len(text)), len(text) // 21)
+    chars = list(text)
+    for at in places:
+        chars[at] = rng.choice("0123456789")
+    return "".join(chars)
+
+
+@pytest.mark.parametrize("kind", ["words swapped", "even substitutions", "random substitutions"])
+def test_overlaps_of_edited_copies_equal_brute_force(spark, kind):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(6, 14)))
+    held = {i: " ".join(word() for _ in range(30)) for i in range(60)}
+    train = {1000 + i: edited(text, kind, rng) for i, text in held.items()}
+    want = {(a, b) for a, x in train.items() for b, y in held.items() if similarity(x, y) >= 0.7}
+    assert len(want) > 40
+    assert {(r.train_id, r.eval_id) for r in cross_split.cross_split_overlaps(frame(spark, train), frame(spark, held)).collect()} == want
