@@ -215,3 +215,9 @@ def test_overlaps_of_edited_copies_equal_brute_force(spark, kind):
     want = {(a, b) for a, x in train.items() for b, y in held.items() if similarity(x, y) >= 0.7}
     assert len(want) > 40
     assert {(r.train_id, r.eval_id) for r in cross_split.cross_split_overlaps(frame(spark, train), frame(spark, held)).collect()} == want
+
+
+def test_passages_reach_the_end():
+    text = "".join(random.Random(2).choices("abcdefgh ", k=251))
+    for t in (text, text.replace(" ", ""), text[:50]):
+        assert "".join(p for _, p in cross_split.passages(t)) == f" {t}"
