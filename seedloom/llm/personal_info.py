@@ -123,6 +123,12 @@ def _masked(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     return mails, handles
 
 
+def _may_be_spoken(text: str) -> bool:
+    """Can ``_SPOKEN`` match? It needs seven digit words; beyond ASCII further letters match without regard to case."""
+    low = text.lower()
+    return not text.isascii() or sum(map(low.count, DIGIT_WORDS)) >= 7
+
+
 def _free(start: int, end: int, taken: list[tuple[int, int]]) -> bool:
     return all(end <= s or start >= e for s, e in taken)
 
@@ -147,7 +153,7 @@ class Extractor:
             if _free(start, end, taken):
                 found.append(("address", start, end, text[start:end].lower(), [], "address"))
                 taken.append((start, end))
-        spoken = [m.span() for m in _SPOKEN.finditer(text)] if any(w in text or w.upper() in text for w in ("five", "zero", "oh ")) else []
+        spoken = [m.span() for m in _SPOKEN.finditer(text)] if _may_be_spoken(text) else []
         for start, end in [*self._numbers(text, runs), *spoken]:
             if _free(start, end, taken):
                 found.append(self._number(text, start, end))

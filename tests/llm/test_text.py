@@ -81,6 +81,22 @@ def test_numbers_in_words_and_escaped_signs():
     assert [t[1] for t in e.candidates("the lamp.  Ask Ann to call") if t[0] == "name"] == [15]
 
 
+@pytest.mark.parametrize(
+    "spoken",
+    [
+        "two one two, four four seven, eight nine three one",
+        "Five one two, four four seven, eight nine three one",
+        "ONE TWO THREE FOUR SIX SEVEN EIGHT",
+        "double two triple three one one four six eight",
+        "\u017fix one two three four seven eight",
+    ],
+)
+def test_numbers_in_words_without_zero_or_five(spoken):
+    e = personal_info.Extractor(frozenset("call me on now".split()), {})
+    text = f"call me on {spoken} now"
+    assert [text[s:t] for g, s, t, *_ in e.candidates(text) if g == "number"] == [spoken]
+
+
 def test_handles_amounts_and_dates_are_none():
     e = personal_info.Extractor(frozenset("follow for news it costs on".split()), {"april": "given"})
     kinds = [c[0] for c in e.candidates("follow @lamp_shop for news, it costs 1583.50 on 13 March 2020")]
