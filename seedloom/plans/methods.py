@@ -8,7 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse
@@ -19,6 +19,8 @@ from ..operators.provider import Provider, answered, breaker_open
 from ..operators.sampling import cyclic
 
 ROWS = "text string, label string"
+#: ROUGE-L from which a new instruction is too like a known one.
+NOVEL = 0.7
 
 
 @dataclass(frozen=True)
@@ -48,7 +50,7 @@ def fewshot(pool: DataFrame, provider: Provider, limits: Limits) -> DataFrame:
     """Completions of prompts with the pool's examples, cleaned, as many per label as wanted; no duplicates removed."""
     spark = pool.sparkSession
     curate.ensure_checkpoint(spark)
-    lines = pool.agg(c.joined_lines(F.concat("label", F.lit(": <<<"), "text", F.lit(">>>")), F.struct("rank", "label")).alias("examples"))
+    lines = _examples(pool)
     need, out, asked = balanced_targets(limits.size), [], 0
     while any(need.values()) and asked < limits.attempts:
         turns = [(label, asked + i) for i, label in enumerate([x for x, n in need.items() for _ in range(min(n, limits.batch))])]
@@ -112,18 +114,59 @@ def paraphrase(pool: DataFrame, provider: Provider, limits: Limits, per_seed: in
     return padded(seeds, accepted_rewrites(candidates), per_seed).limit(limits.size).select("text", "label")
 
 
-def instruct(pool: DataFrame, instructions: list[str], provider: Provider, limits: Limits) -> DataFrame:
-    """Instances of neutral instructions, verified, and accepted unless they copy a seed or an accepted one."""
+def _examples(pool: DataFrame) -> DataFrame:
+    return pool.agg(c.joined_lines(F.concat("label", F.lit(": <<<"), "text", F.lit(">>>")), F.struct("rank", "label")).alias("examples"))
+
+
+def verified_instances(texts: DataFrame, pool: DataFrame, verifier: Provider) -> DataFrame:
+    """Of texts (label, .., text) those whose label the verifier confirms, with all four flags of its verdict right."""
+    ask = F.concat(
+        F.lit("Examples:\n"), "examples", F.lit("\n\nIs the answer of this text "), "label", F.lit("?\n<<<"), "text",
+        F.lit('>>>\nAnswer with JSON {"label_correct": bool, "natural": bool, "copied_from_support": bool, "accept": bool, "reason": ...}.'),
+    )
+    asked = texts.crossJoin(_examples(pool)).withColumn("prompt", ask).drop("examples")  # one row of examples
+    return answered(asked, verifier).filter(parse.accepts_instance(parse.json_payload(F.col("response")))).select(*texts.columns)
+
+
+def expanded(spark: SparkSession, instructions: list[str], made: list[str], provider: Provider, turn: int) -> list[str]:
+    """New instructions that one request adds to the pool: of the asked form, and unlike the pool and each other.
+
+    Six given and two made instructions are shown, others in every turn.
+    """
+    shown = [pool[(turn * n + i) % len(pool)] for pool, n in ((instructions, 6), (made, 2)) for i in range(min(n, len(pool)))]
+    prompt = "Write new neutral instructions like these, as JSON {\"instructions\": [...]}.\n" + "\n".join(f"- {x}" for x in shown) + f"\n#{turn}"
+    answer = answered(spark.createDataFrame([(prompt,)], "prompt string"), provider)
+    listed = answer.select(parse.instructions(parse.json_payload(F.col("response"))).alias("texts")).first()["texts"] or []
+    if not listed:
+        return []
+    new = spark.createDataFrame([(1, i, x) for i, x in enumerate(listed)], "all int, id bigint, text string")
+    refs = spark.createDataFrame([(1, x) for x in instructions + made], "all int, ref string")
+    far = new.join(curate.best_reference(new, refs, ["all"]).filter(F.col("best") < NOVEL).select("id"), "id").select("all", "id", "text").checkpoint()
+    return [listed[r["id"]] for r in curate.near_duplicate_accept(far, ["all"], NOVEL).select("id").orderBy("id").collect()]  # one answer's worth
+
+
+def instruct(pool: DataFrame, instructions: list[str], provider: Provider, limits: Limits, verifier: Provider | None = None) -> DataFrame:
+    """Instances of neutral instructions, accepted unless they copy a seed or an accepted one.
+
+    The pool of instructions grows by one request a round. Each instance must pass ``verifier``, usually the provider
+    itself; without one, instances are not verified.
+    """
     spark = pool.sparkSession
     curate.ensure_checkpoint(spark)
     seeds = pool.select(F.lit(1).alias("all"), F.col("text").alias("ref"))
-    need, out, asked = balanced_targets(limits.size), [], 0
+    need, out, asked, rounds = balanced_targets(limits.size), [], 0, 0
+    made: list[str] = []
     while any(need.values()) and asked < limits.attempts:
+        made += expanded(spark, instructions, made, provider, rounds)
+        rounds += 1
         turns = [(label, asked + i) for i, label in enumerate([x for x, n in need.items() for _ in range(min(n, limits.batch))])]
         asked += len(turns)
-        chosen = F.element_at(F.array(*map(F.lit, instructions)), (F.col("turn") % len(instructions) + 1).cast("int"))
+        known_tasks = instructions + made
+        chosen = F.element_at(F.array(*map(F.lit, known_tasks)), (F.col("turn") % len(known_tasks) + 1).cast("int"))
         prompts = _requests(spark, turns).select("label", "turn", F.concat(chosen, F.lit("\nWrite one text whose answer is "), "label", F.lit(', as JSON {"text": ...}.\n#'), F.col("turn").cast("string")).alias("prompt"))
         texts = answered(prompts, provider).select("label", F.col("turn").cast("bigint").alias("id"), parse.instance_text(parse.json_payload(F.col("response"))).alias("text")).filter("text is not null").withColumn("all", F.lit(1)).checkpoint()
+        if verifier is not None:
+            texts = verified_instances(texts, pool, verifier).checkpoint()
         refs = seeds if not out else seeds.unionByName(_union(out, spark).select(F.lit(1).alias("all"), F.col("text").alias("ref")))
         known = refs.select(t.normalise(F.col("ref")).alias("key")).distinct()
         fresh = texts.withColumn("key", t.normalise(F.col("text"))).join(known, "key", "left_anti")
@@ -138,23 +181,73 @@ def instruct(pool: DataFrame, instructions: list[str], provider: Provider, limit
     return _union(out, spark)
 
 
-def contrastive(rubrics: DataFrame, seeds: DataFrame, provider: Provider, limits: Limits) -> DataFrame:
+PAIRS = ("rubric_id", "pair_id", "sensitive_text", "nonsensitive_text", "reason")
+
+
+def contrastive(rubrics: DataFrame, seeds: DataFrame, provider: Provider, limits: Limits, verifier: Provider | None = None) -> DataFrame:
     """Pairs per rubric (rubric_id, prompt), gated in order, with the reason of refusal of the others.
 
     (rubric_id, pair_id, sensitive_text, nonsensitive_text, reason): ``reason`` is null for accepted pairs. A pair is
     checked as a whole against seeds and pairs before it; its own two texts may be alike, only not equal.
+
+    The rubrics share ``limits.size`` texts, two a pair, and the attempts evenly. A rubric short of its quota is asked
+    again, ``limits.batch`` times a round, while it has attempts left; pairs beyond a quota are refused. A run of failed
+    answers without an accepted pair stops the loop with an error. Each pair must pass ``verifier``, usually the
+    provider itself; without one, pairs are not verified.
     """
-    curate.ensure_checkpoint(rubrics.sparkSession)
-    turns = rubrics.withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(limits.batch))))
-    asked = turns.select("rubric_id", "turn", F.concat("prompt", F.lit("\n#"), F.col("turn").cast("string")).alias("prompt"))
+    spark = rubrics.sparkSession
+    curate.ensure_checkpoint(spark)
+    ids = [r["rubric_id"] for r in rubrics.select("rubric_id").distinct().orderBy("rubric_id").collect()]  # counts per rubric only
+    wanted = (limits.size + 1) // 2
+    need = {x: wanted // len(ids) + (i < wanted % len(ids)) for i, x in enumerate(ids)}
+    asked, budget = dict.fromkeys(ids, 0), max(1, limits.attempts // max(1, len(ids)))
+    fields = f"rubric_id {rubrics.schema['rubric_id'].dataType.simpleString()}, first int, last int"
+    out: list[DataFrame] = []
+    accepted = failed = run = 0
+    while turns := [(x, asked[x] + 1, min(asked[x] + limits.batch, budget), need[x]) for x in ids if need[x] and asked[x] < budget]:
+        schedule = spark.createDataFrame(turns, f"{fields}, need int")
+        asked |= {x: last for x, _, last, _ in turns}
+        earlier = _accepted_texts(out, spark)
+        judged = _judged_pairs(rubrics.join(schedule, "rubric_id"), seeds, earlier, provider, verifier).checkpoint()
+        place = F.row_number().over(Window.partitionBy("rubric_id", F.col("reason").isNull()).orderBy("pair_id"))  # one round of a rubric
+        judged = judged.join(schedule.select("rubric_id", "need"), "rubric_id").withColumn("reason", F.when(F.col("reason").isNull() & (place > F.col("need")), "quota_full").otherwise(F.col("reason"))).select(*PAIRS).checkpoint()
+        out.append(judged)
+        fresh = {r["rubric_id"]: r["count"] for r in judged.filter("reason is null").groupBy("rubric_id").count().collect()}
+        need |= {x: need[x] - n for x, n in fresh.items()}
+        broken = judged.filter(F.col("reason").isin("pair_parse_failed", "verifier_parse_failed")).count()
+        accepted, failed, run = accepted + sum(fresh.values()), failed + broken, 0 if fresh else run + broken
+        if breaker_open(accepted, failed, run, limits.failures):
+            raise RuntimeError(f"{run} failed answers in a row, {failed} in all")
+    whole = spark.createDataFrame([], f"rubric_id {rubrics.schema['rubric_id'].dataType.simpleString()}, pair_id string, sensitive_text string, nonsensitive_text string, reason string")
+    for part in out:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def _accepted_texts(parts: list[DataFrame], spark: SparkSession) -> DataFrame:
+    """Both texts of all accepted pairs."""
+    whole = spark.createDataFrame([], "text string")
+    for part in parts:
+        whole = whole.unionByName(part.filter("reason is null").select(F.explode(F.array("sensitive_text", "nonsensitive_text")).alias("text")))
+    return whole
+
+
+def _judged_pairs(rubrics: DataFrame, seeds: DataFrame, earlier: DataFrame, provider: Provider, verifier: Provider | None) -> DataFrame:
+    """The pairs of one round (rubric_id, prompt, first, last) with the reason of refusal."""
+    turns = rubrics.withColumn("turn", F.explode(F.sequence("first", "last")))
+    asked = turns.select("rubric_id", "turn", F.col("prompt").alias("rubric"), F.concat("prompt", F.lit("\n#"), F.col("turn").cast("string")).alias("prompt"))
     raw = answered(asked, provider).checkpoint()
-    pairs = raw.select("rubric_id", "turn", parse.generated_pair(parse.json_payload(F.col("response"))).alias("p")).select("rubric_id", "turn", "p.*", F.concat("rubric_id", F.lit("_pair"), F.lpad(F.col("turn").cast("string"), 6, "0")).alias("pair_id"))
+    pairs = raw.select("rubric_id", "rubric", "turn", parse.generated_pair(parse.json_payload(F.col("response"))).alias("p")).select("rubric_id", "rubric", "turn", "p.*", F.concat("rubric_id", F.lit("_pair"), F.lpad(F.col("turn").cast("string"), 6, "0")).alias("pair_id"))
     a, b = F.col("sensitive_text"), F.col("nonsensitive_text")
     keyed = pairs.withColumn("ka", t.normalise(a)).withColumn("kb", t.normalise(b))
-    known = seeds.select(t.normalise(F.col("text")).alias("key")).distinct()
-    copies = keyed.select("pair_id", F.explode(F.array("ka", "kb")).alias("key")).join(known, "key", "left_semi").select("pair_id").distinct().withColumn("copied", F.lit(True))
-    first = keyed.select("pair_id", F.explode(F.array("ka", "kb")).alias("key")).filter("key is not null").groupBy("key").agg(F.min("pair_id").alias("first"))
-    seen = keyed.select("pair_id", F.explode(F.array("ka", "kb")).alias("key")).join(first, "key").filter("first < pair_id").select("pair_id").distinct().withColumn("seen", F.lit(True))
+    keys = keyed.select("pair_id", F.explode(F.array("ka", "kb")).alias("key"))
+
+    def known(texts: DataFrame) -> DataFrame:
+        return keys.join(texts.select(t.normalise(F.col("text")).alias("key")).distinct(), "key", "left_semi").select("pair_id").distinct()
+
+    copies = known(seeds).withColumn("copied", F.lit(True))
+    first = keys.filter("key is not null").groupBy("key").agg(F.min("pair_id").alias("first"))
+    seen = keys.join(first, "key").filter("first < pair_id").select("pair_id").union(known(earlier)).distinct().withColumn("seen", F.lit(True))
     gates = [
         ("pair_parse_failed", a.isNull()),
         ("incomplete_rejected", t.incomplete_reason(a).isNotNull() | t.incomplete_reason(b).isNotNull()),
@@ -163,11 +256,40 @@ def contrastive(rubrics: DataFrame, seeds: DataFrame, provider: Provider, limits
         ("duplicate_rejected", F.col("seen")),
     ]
     judged = keyed.join(copies, "pair_id", "left").join(seen, "pair_id", "left").withColumn("reason", curate.first_failing(gates)).drop("copied", "seen", "ka", "kb").checkpoint()
+    judged = _refused(judged, _like(judged, seeds), "rouge_l_seed_duplicate_rejected")
+    judged = _refused(judged, _like(judged, earlier), "rouge_l_generated_duplicate_rejected").checkpoint()
+    if verifier is not None:
+        judged = _verified_pairs(judged, verifier).checkpoint()
     ready = judged.filter("reason is null").select(F.lit(1).alias("all"), F.col("pair_id"), F.explode(F.array("sensitive_text", "nonsensitive_text")).alias("text"))
     far = _pair_independent(ready)
     return judged.join(far.withColumn("far", F.lit(True)), "pair_id", "left").select("rubric_id", "pair_id", "sensitive_text", "nonsensitive_text", F.coalesce("reason", F.when(F.col("far").isNull(), "rouge_l_generated_duplicate_rejected")).alias("reason"))
 
 
+def _refused(judged: DataFrame, ids: DataFrame, reason: str) -> DataFrame:
+    return judged.join(ids.withColumn("hit", F.lit(True)), "pair_id", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("hit"), reason))).drop("hit")
+
+
+def _like(judged: DataFrame, texts: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """Ids of the pairs, not refused yet, of which a text is as similar as ``threshold`` to one of ``texts``."""
+    mine = judged.filter("reason is null").select("pair_id", F.posexplode(F.array("sensitive_text", "nonsensitive_text")).alias("side", "text"))
+    mine = mine.select("pair_id", F.lit(1).alias("all"), F.xxhash64("pair_id", "side").alias("id"), "text")
+    best = curate.best_reference(mine.select("all", "id", "text"), texts.select(F.lit(1).alias("all"), F.col("text").alias("ref")), ["all"])
+    return mine.join(best.filter(F.col("best") >= threshold).select("id"), "id").select("pair_id").distinct()
+
+
+def _verified_pairs(judged: DataFrame, verifier: Provider) -> DataFrame:
+    """The verifier is asked about the pairs not refused yet."""
+    ask = F.concat(
+        "rubric", F.lit("\nIs this pair right?\nSensitive: <<<"), "sensitive_text", F.lit(">>>\nNon-sensitive: <<<"), "nonsensitive_text",
+        F.lit('>>>\nAnswer with JSON {"sensitive_label_correct": bool, "nonsensitive_label_correct": bool, "matched_pair": bool, "copied_from_support": bool, "accept": bool, "reason": ...}.'),
+    )
+    asked = judged.filter("reason is null").select("pair_id", ask.alias("prompt"))
+    verdict = parse.pair_verdict(parse.json_payload(F.col("response")))
+    read = answered(asked, verifier).select("pair_id", verdict.alias("verdict")).checkpoint()
+    why = F.when(F.col("verdict").isNull(), "verifier_parse_failed").when(~parse.accepts_pair(F.col("verdict")), "verifier_rejected")
+    return judged.join(read, "pair_id", "left").withColumn("reason", F.when(F.col("reason").isNull(), why).otherwise(F.col("reason"))).drop("verdict")
+
+
 def _pair_independent(texts: DataFrame, threshold: float = 0.95) -> DataFrame:
     """Ids of pairs accepted in order when any text of an accepted pair refuses any similar text of a later pair."""
     items = texts.select("all", "pair_id", t.tokens(F.col("text")).alias("tokens"), F.xxhash64("pair_id", "text").alias("id")).distinct()

@@ -218,6 +218,42 @@ def test_contrastive_gates(spark):
     assert len(kept) == len(set(kept)) > 0
 
 
+INSTANCE = provider.Stub(('{{"text": "The {0} {1} of {2} met {3} {4} {5} on day {n}."}}',), broken=0)
+PAIR = provider.Stub(('{{"sensitive_text": "My {0} is {1} at {2} and {3}, number {n}.", "nonsensitive_text": "The {0} is {1} at {2} and {3}, number {n}."}}',), broken=0)
+
+
+def verdict(accept, *flags):
+    return provider.Stub(("{{" + "".join(f'"{f}": true, ' for f in flags) + f'"copied_from_support": false, "accept": {accept}' + "}}",), broken=0)
+
+
+def test_instances_pass_the_verifier(spark):
+    pool = spark.createDataFrame(POOL, "label string, rank int, text string")
+    made = lambda accept: methods.instruct(pool, ["Decide whether a person is named."], INSTANCE, methods.Limits(size=4, batch=4, attempts=8), verdict(accept, "label_correct", "natural"))
+    assert made("false").count() == 0
+    assert made("true").count() == 4
+
+
+def test_instruction_pool_grows(spark):
+    known = ["Decide whether a person is named."]
+    listed = provider.Stub(('{{"instructions": ["Decide whether a person is named.", "Decide whether some secret bank details occur here.", "Say no."]}}',), broken=0)
+    new = methods.expanded(spark, known, [], listed, 0)
+    assert new == ["Decide whether some secret bank details occur here."]
+    assert methods.expanded(spark, known, new, listed, 1) == []
+
+
+def test_contrastive_is_a_quota_loop_with_verifier_and_breaker(spark):
+    rubrics = spark.createDataFrame([("R1", "write"), ("R2", "compose")], "rubric_id string, prompt string")
+    seeds = spark.createDataFrame([("The sky is blue.",)], "text string")
+    flags = ("sensitive_label_correct", "nonsensitive_label_correct", "matched_pair")
+    rows = methods.contrastive(rubrics, seeds, PAIR, methods.Limits(size=10, batch=2), verdict("true", *flags)).collect()
+    kept = [r.rubric_id for r in rows if r.reason is None]
+    assert (kept.count("R1"), kept.count("R2")) == (3, 2)
+    refused = methods.contrastive(rubrics, seeds, PAIR, methods.Limits(size=4, batch=2, attempts=8), verdict("false", *flags)).collect()
+    assert len(refused) == 8 and {r.reason for r in refused} == {"verifier_rejected"}
+    with pytest.raises(RuntimeError, match="failed answers"):
+        methods.contrastive(rubrics, seeds, provider.Stub(("no",), broken=0), methods.Limits(batch=2, failures=4)).collect()
+
+
 def test_pairs_may_be_alike_inside(spark):
     rows = [(1, "p1", "a b c d e f g h i j k l m n o p q r s t x"), (1, "p1", "a b c d e f g h i j k l m n o p q r s t y"), (1, "p2", "a b c d e f g h i j k l m n o p q r s t z"), (1, "p3", "something else altogether here now")]
     df = spark.createDataFrame(rows, "all int, pair_id string, text string")
