@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,7 +58,11 @@ _HANDLE = re.compile(r"\w+")
 _DOT = r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\sdot\s)"
 _AT = r"(?:\s?[@＠]\s?|\s?[\[({]\s?at\s?[\])}]\s?|\sat\s)"
 _SPELT = re.compile(rf"\w[\w+%-]*(?:{_DOT}[\w+%-]+)*{_AT}[\w-]+(?:{_DOT}[\w-]+)+(?!\w)(?!{_AT})", re.IGNORECASE)
-_SPELT_SIGNS = ("at)", "at]", "at}", " dot ", "dot)", "dot]", "dot}", " @")
+#: what any match of _SPELT with a spelt sign holds; for text in lower case, where a literal can be searched for first
+_SPELT_SIGN = rf"at(?<=[\s\[({{]at)(?:\s?[\])}}]\s?|\s)[\w-]+{_DOT}[\w-]"
+_SIGN_LOWER, _SIGN = re.compile(_SPELT_SIGN), re.compile(_SPELT_SIGN, re.IGNORECASE)
+#: an address in which neither sign is spelt in a way of its own: it may be a handle or a place
+_PLAIN_AT = re.compile(r"(?P<local>\S+)\sat\s(?P<domain>[\w.-]+)", re.IGNORECASE)
 _DIGITS = re.compile(r"\d+")
 _NO = r"\d{1,4}[a-z]?(?:\s?[-/–]\s?\d{1,4}[a-z]?)?"
 _TOWN = r"(?P<town>,\s[^\W\d_][\w'’-]+(?:\s\d{4,5})?)?"
@@ -100,8 +104,15 @@ def _words_before(text: str, at: int) -> list[str]:
     return [re.sub(r"\d", "9", w.lower()) for w in _LEFT.findall(text, max(0, at - 60), at)]
 
 
-def _masked(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Spans of e-mail addresses, and of account handles."""
+def _may_be_spelt(text: str) -> bool:
+    """Can ``_SPELT`` match? Beyond ASCII, lower case may have other characters than the text."""
+    if "@" in text or "＠" in text:
+        return True
+    return bool(_SIGN_LOWER.search(text.lower()) if text.isascii() else _SIGN.search(text))
+
+
+def _masked(text: str, refused: Callable[[str], bool]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Spans of e-mail addresses, and of account handles; ``refused`` tells which spelt addresses are none."""
     mails, handles = [], []
     for sign in "@＠":
         at = text.find(sign)
@@ -117,9 +128,8 @@ def _masked(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
             elif start == at and (handle := _HANDLE.match(text, at + 1)):
                 handles.append((at, handle.end()))
             at = text.find(sign, at + 1)
-    low = text.lower()
-    if any(s in low for s in _SPELT_SIGNS):
-        mails += [m.span() for m in _SPELT.finditer(text) if all(m.end() <= s or m.start() >= e for s, e in mails)]
+    if _may_be_spelt(text):
+        mails += [m.span() for m in _SPELT.finditer(text) if all(m.end() <= s or m.start() >= e for s, e in mails) and not refused(m.group())]
     return mails, handles
 
 
@@ -145,7 +155,7 @@ class Extractor:
 
     def candidates(self, text: str) -> list[tuple[str, int, int, str, list[str], str | None]]:
         """(group, start, end, instance, patterns, seed label or None); positions count from 0."""
-        mails, handles = _masked(text)
+        mails, handles = _masked(text, self._no_address)
         found = [("email", s, e, text[s:e].lower(), [], "email") for s, e in mails]
         taken = mails + handles
         runs = [m.span() for m in _DIGITS.finditer(text)]
@@ -161,6 +171,15 @@ class Extractor:
         found += self._people(text, taken)
         return found
 
+    def _no_address(self, spelt: str) -> bool:
+        """Is 'word at word.word' a handle or a place? So it is after an ordinary word, as in 'me at ann.lee', if the
+        second part is made of listed names, or if it doesn't end in letters."""
+        m = _PLAIN_AT.fullmatch(spelt)
+        if not m:
+            return False
+        parts = m["domain"].lower().split(".")
+        return m["local"].lower() in self.ordinary or not parts[-1].isalpha() or all(p in self.names for p in parts)
+
     def _streets(self, text: str, runs: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
         done = 0
         for at, _ in runs:

@@ -72,6 +72,15 @@ def test_spellings_of_addresses(text):
     assert [text[s:].startswith("ann") for g, s, *_ in e.candidates(text) if g == "email"] == [True]
 
 
+@pytest.mark.parametrize("mail", ["jane ( at ) example.com", "jane@ example.com", "jane ＠ example.com", "jane at example.com", "JANE\nAT\nexample.com", "jané at example.com"])
+def test_signs_cover_every_spelling(mail):
+    e = personal_info.Extractor(frozenset("write me now if".split()), {"ann": "given", "lee": "family"})
+    text = f"write: {mail} now"
+    assert [text[s:t] for g, s, t, *_ in e.candidates(text) if g == "email"] == [mail]
+    for other in ("find me at ann.lee now", "Jane at ann.lee now", "jane at 10.30 now", "write at example.com now"):
+        assert not [c for c in e.candidates(other) if c[0] == "email"]
+
+
 def test_numbers_in_words_and_escaped_signs():
     e = personal_info.Extractor(frozenset("please ask to call and i live at the lamp shop".split()), {"ann": "given", "bela": "given"})
     text = "please ask Ann to call two one seven five five five zero one"
