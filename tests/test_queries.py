@@ -34,3 +34,10 @@ def test_flagship(spark):
 
 def test_every_sql_has_its_query():
     assert set(SQL) <= set(QUERIES)
+
+
+def test_generation_runs_cover_every_dataset_and_seed(spark, con):
+    rows = QUERIES["stub_generation_run"](spark, SF).collect()
+    datasets = {r[0] for r in con.execute("select distinct dataset from train where text is not null and label in ('Sensitive', 'Non-sensitive') and dataset is not null").fetchall()}
+    assert {(r.dataset, r.seed) for r in rows} == {(x, s) for x in datasets for s in (42, 123, 456)}
+    assert len(datasets) > 1 and all(r.n >= 12 for r in rows)
