@@ -219,7 +219,9 @@ def contrastive(rubrics: DataFrame, seeds: DataFrame, provider: Provider, limits
         if breaker_open(accepted, failed, run, limits.failures):
             raise RuntimeError(f"{run} failed answers in a row, {failed} in all")
     whole = spark.createDataFrame([], f"rubric_id {rubrics.schema['rubric_id'].dataType.simpleString()}, pair_id string, sensitive_text string, nonsensitive_text string, reason string")
-    for part in out:
+    if out:
+        whole = out[0]
+    for part in out[1:]:
         whole = whole.unionByName(part)
     return whole
 
