@@ -66,7 +66,7 @@ _DOMAIN = re.compile(r"[\w-]+(?:\.[\w-]+)+")
 _HANDLE = re.compile(r"\w+")
 _DOT = r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\sdot\s)"
 _AT = r"(?:\s?[@＠]\s?|\s?[\[({]\s?at\s?[\])}]\s?|\sat\s)"
-_SPELT = re.compile(rf"(?<!\w)\w[\w+%-]*(?:{_DOT}[\w+%-]+)*{_AT}[\w-]+(?:{_DOT}[\w-]+)+(?!\w)(?!{_AT})", re.IGNORECASE)
+_SPELT = re.compile(rf"(?<!\w)\w[\w+%-]*(?:{_DOT}[\w+%-]+)*{_AT}[\w-]+(?:{_DOT}[\w-]+)+(?!\w|[+%]\w)(?!{_AT})", re.IGNORECASE)
 #: what any match of _SPELT with a spelt sign holds; for text in lower case, where a literal can be searched for first
 _SPELT_SIGN = rf"at(?<=[\s\[({{]at)(?:\s?[\])}}]\s?|\s)[\w-]+{_DOT}[\w-]"
 _SIGN_LOWER, _SIGN = re.compile(_SPELT_SIGN), re.compile(_SPELT_SIGN, re.IGNORECASE)
