@@ -166,3 +166,42 @@ def test_every_channel_is_undone(text, wrong):
     for token in mojibake._TOKEN.findall(text):
         if len(set(table.values())) == 256:
             assert mojibake._undo("".join(table[b] for b in token.encode("utf-8")), (("utf-8", wrong),))[0] == token
+
+
+#: (what is left of a UTF-8 text read as cp1252 of which one byte was lost, the text); one of each length and place
+LOST = [
+    ("the cafÃ is closed", "the café is closed"),
+    ("we say â€good dayâ€\x9d now", "we say “good day” now"),
+    ("the price â\x82 was 5", "the price € was 5"),
+    ("sent with ðŸ˜ and love", "sent with 😀 and love"),
+    ("sent with ð�˜€ and love", "sent with 😀 and love"),
+    ("crÃ?me and more", "crème and more"),
+    ("crÃ�me and more", "crème and more"),
+]
+
+
+def test_lost_bytes_keep_the_others(spark):
+    clean = ["the café is closed", "we say “good day” now", "the price € was 5", "sent with 😀 and love", "crème and more"]
+    rows = [(i, clean[i % len(clean)]) for i in range(300)] + [(1000 + i, t) for i, (t, _) in enumerate(LOST)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.restored, r.whole) for r in mojibake.restored_texts(df).collect()}
+    assert got == {1000 + i: (original, False) for i, (_, original) in enumerate(LOST)}
+
+
+def test_lost_bytes_never_become_what_the_others_exclude():
+    for char in "é€😀":
+        data = list(char.encode("utf-8"))
+        for gone in range(1, len(data)):
+            for left in (data[:gone] + data[gone + 1 :], data[:gone] + [mojibake.LOST_BYTE] + data[gone + 1 :]):
+                text, formed, lost, partial = mojibake._from_utf8(left)
+                assert (text, formed, lost) == (mojibake.REPLACED, 0, 1)
+                assert mojibake._agrees(char, partial[0]) and char in mojibake._completions(partial[0])
+                assert not mojibake._agrees("à" if char == "é" and gone == 0 else "ж", partial[0])
+
+
+def test_more_tokens_than_the_table_holds_are_read_by_the_workers(spark, monkeypatch):
+    rows = garbled()
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    whole = {tuple(r) for r in mojibake.restored_texts(df).select("doc_id", "restored").collect()}
+    monkeypatch.setattr(mojibake, "TABLE", 2)
+    assert {tuple(r) for r in mojibake.restored_texts(df).select("doc_id", "restored").collect()} == whole
