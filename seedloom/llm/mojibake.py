@@ -50,7 +50,7 @@ CHANNELS: list[Channel] = [
 
 #: ASCII letters and anything beyond ASCII; other ASCII means the same in every encoding here, so tokens may end there.
 #: A question mark between such characters may be a lost byte.
-_TOKEN = re.compile(r"[A-Za-z\x80-\U0010ffff]*[\x80-\U0010ffff](?:[A-Za-z\x80-\U0010ffff]|(?<=[\x80-\U0010ffff])\?(?=[A-Za-z\x80-\U0010ffff]))*")
+_TOKEN = re.compile(r"(?<![A-Za-z\x80-\U0010ffff])[A-Za-z\x80-\U0010ffff]*[\x80-\U0010ffff](?:[A-Za-z\x80-\U0010ffff]|(?<=[\x80-\U0010ffff])\?(?=[A-Za-z\x80-\U0010ffff]))*")
 
 _BEYOND = re.compile(r"[^\x00-\x7f]")
 #: what is left of a sequence with a lost byte: lead, the bytes after it with wildcards, how many there were
