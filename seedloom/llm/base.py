@@ -23,7 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (local sessions, tests) a temporary folder is made and set.
+    Only where that is unset and the session is local, as in tests, a temporary folder is made and set; on a cluster such
+    a folder would be one machine's, so that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
@@ -32,14 +33,25 @@ def shared_dir(spark: SparkSession) -> str:
     known = context._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return str(known.get()).rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="seedloom-"))
     return str(context._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def _target(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, target = _target(spark, path)
+    return system.exists(target)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    system, target = _target(spark, path)
+    system.delete(target, True)
 
 
 class Workspace:
@@ -48,7 +60,6 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self._paths: dict[int, str] = {}
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
@@ -58,14 +69,17 @@ class Workspace:
         path = self.path(name)
         df.write.parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(kept)] = path
         kept._seedloom_path = path
         return kept
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no pending result reads any more."""
         for df in tables:
-            _delete(self.spark, df._seedloom_path)
+            delete(self.spark, df._seedloom_path)
+
+    def clear(self) -> None:
+        """Delete all its tables."""
+        delete(self.spark, self.root)
 
 
 def normalise(text: str | None) -> str:

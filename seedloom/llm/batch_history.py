@@ -13,20 +13,25 @@ Hamming distance never exceeds |c_j(x) - c_j(y)|: pruning then is a few XORs, an
 
 Distances between unlike texts lie in a narrow band (mean 0.89, deviation 0.03 as 1 - similarity), so no single pivot
 distance, and no range of it, separates one text from the mass of others. Therefore the table is also cut into
-cells, the blocks of ``fingerprint``, and joins are by cell and range of the size, with the pivot distances pruning
-inside.
+cells, the blocks of ``fingerprint``, and joins are by cell. In a cell that holds many records the first accepted one
+is a further pivot: Hamming distances H of codes are a metric below d, so similar x and y fulfil
+
+    |H(x, pivot) - H(y, pivot)| <= H(x, y) <= d(x, y),
+
+and the join is by ranges of the size and of that distance, within which the codes prune.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import Workspace, table
-from .fingerprint import Summary, blocks, direct_pairs, leader_pairs, signatures, slice_of, slices, verified
+from .base import Workspace, delete, exists, table
+from .fingerprint import DIRECT_BLOCK, Summary, hamming, signatures, slice_of, slices, verified
 
 PIVOTS = 96
 CODE = 4
@@ -41,116 +46,184 @@ def _pivot_code(hashed: np.ndarray, least: np.ndarray) -> np.ndarray:
 
 
 def _triangle(distance: Column, a: Column, b: Column, threshold: float) -> Column:
-    return distance <= F.lit((1 - threshold) / (1 + threshold)) * (a + b) + F.lit(1e-9)
+    return distance <= F.lit(_share(threshold)) * (a + b) + F.lit(1e-9)
 
 
 PIVOT_TABLE = Summary(PIVOTS * CODE // 64, _pivot_code, _triangle)
 
 
-def pivot_table(df: DataFrame, id_col: str, text_col: str, batch_col: str) -> DataFrame:
-    """The table's rows for ``df``: (id, batch, n, same, f0.., keys), of texts with at least one 3-gram and a batch."""
-    rows = signatures(df.withColumn("batch", F.col(batch_col).cast("bigint")), id_col, text_col, {"batch": "bigint"}, PIVOT_TABLE)
-    return rows.filter(F.col("batch").isNotNull())
-
+def _share(threshold: float) -> float:
+    """The most that similar sets may be apart, as a share of both sizes."""
+    return (1 - threshold) / (1 + threshold)
 
-def _classes(rows: DataFrame) -> DataFrame:
-    """One row per gram set: its smallest batch, and that batch's smallest id."""
-    first = F.min(F.struct("batch", "id")).alias("at")
-    kept = rows.groupBy("same", "n").agg(first, *(F.first(c).alias(c) for c in (*PIVOT_TABLE.columns, "keys")))
-    return kept.select("same", "n", F.col("at.batch").alias("batch"), F.col("at.id").alias("id"), *PIVOT_TABLE.columns, "keys")
 
-
-def _range(threshold: float) -> Column:
+def _range(threshold: float, size: str = "n") -> Column:
     """Range of the size; similar sets lie in one range or in neighbouring ones."""
-    return F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(threshold))).cast("int")
+    return F.floor(F.log(F.col(size).cast("double")) / F.lit(-math.log(threshold))).cast("int")
 
 
-def _rest_of_large(large: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (earlier a, later b) of large cells for classes b that no link was found for yet, joined by ranges of the
-    size and sliced within them, as a cell may hold a third of all classes."""
-    late = large.join(found, "id", "left_anti").withColumn("range", F.explode(F.sequence(_range(threshold) - 1, _range(threshold) + 1)))
-    late = late.withColumn("slice", F.explode(F.sequence(F.lit(0), slices() - 1)))
-    early = large.withColumn("range", _range(threshold)).withColumn("slice", slice_of())
-    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.range") == F.col("b.range")) & (F.col("a.slice") == F.col("b.slice"))
-    joined = early.alias("a").join(late.alias("b"), same & (F.col("a.batch") < F.col("b.batch")) & PIVOT_TABLE.near("a", "b", threshold))
-    return joined.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+def _width(size_range: Column, threshold: float) -> Column:
+    """The most that H can be apart in pairs of which one set lies in a range of the size."""
+    top = F.pow(F.lit(1 / threshold), size_range + 1)
+    return F.ceil(F.lit(_share(threshold)) * top * (1 + 1 / threshold)) + 1
 
 
-def repeats_of_earlier(df: DataFrame, id_col: str = "row_id", text_col: str = "text", batch_col: str = "batch_no", threshold: float = 0.70) -> DataFrame:
-    """Ids of the rows that repeat, exactly or nearly, a row of an earlier batch: all batches of ``df`` in one pass.
-
-    The result is that of ``BatchIndex`` fed batch by batch, at the cost of one. Rows of one gram set form a class,
-    known by its first batch. In a cell of up to ``DIRECT_BLOCK`` classes all pairs of an earlier and a later class are
-    tried; in a larger one each class is tried against the first and the preceding class, and what stays without a link
-    against all earlier ones, by range. Every link is confirmed on the texts.
-
-    Null texts, texts under three characters and rows without id or batch repeat nothing; rows of one batch don't count
-    as repeats of each other; further columns are ignored; an empty table gives an empty result.
-    """
-    work = Workspace(df.sparkSession, "batch-history")
-    rows = work.keep(pivot_table(df, id_col, text_col, batch_col), "pivots")
-    classes = work.keep(_classes(rows), "classes")
-    texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    blocked = blocks(work, classes.drop("same"))
-    earlier = lambda a, b: F.col(f"{a}.batch") < F.col(f"{b}.batch")
-    near = direct_pairs(blocked, threshold, earlier, PIVOT_TABLE)
-    if blocked.any_large:
-        near = near.union(leader_pairs(blocked, threshold, ["batch", "id"], PIVOT_TABLE, earlier)).distinct()
-    pairs = work.keep(near, "pairs")
-    found = work.keep(verified(pairs, texts, threshold).select(F.col("b").alias("id")).distinct(), "found")
-    if blocked.any_large:
-        pairs = work.keep(_rest_of_large(blocked.large, found, threshold), "pairs")
-        found = found.union(verified(pairs, texts, threshold).select(F.col("b").alias("id"))).distinct()
-    known = classes.join(found.withColumn("linked", F.lit(True)), "id", "left").select("same", "n", F.col("batch").alias("first"), "linked")
-    hit = rows.select("same", "n", "id", "batch").join(known, ["same", "n"]).filter((F.col("batch") > F.col("first")) | F.col("linked"))
-    return hit.select(F.col("id").alias(id_col)).distinct()
+FIELDS = ["id", "n", "same", *PIVOT_TABLE.columns]
 
 
 class BatchIndex:
-    """The pivot-distance table of all accepted rows, in a folder that grows by one part per batch.
-
-    ``probe`` finds the rows of a new batch that repeat an accepted one; ``append`` accepts rows. History is never
-    signed or compared with itself again: a probe signs the new batch, reads the stored cells and joins on those that
-    the batch occurs in. Null and short texts repeat nothing, and are accepted without an entry.
+    """The pivot-distance table of all accepted records, in a folder that grows by one part per batch.
+
+    ``probe`` finds the rows of a new batch that repeat an accepted one, ``append`` accepts rows, ``add`` does both and
+    signs the batch once. History is never signed, shuffled, or compared with itself again: its cells are stored in
+    buckets of their key, its texts in buckets of their id, so a probe shuffles only the new batch to them and keeps of
+    the cells those that the batch occurs in. Everything after that follows the batch: of each text the candidate of
+    the least distance is verified first, others only where that fails; a cell of over ``DIRECT_BLOCK`` records is first
+    asked for its pivot, and then by ranges of size and pivot distance, sliced, as it may hold a third of all records.
+
+    Records of one gram set form a class, of which the first is stored; a class that is stored isn't stored again.
+    Null texts, texts under three characters and rows without id repeat nothing and are accepted without an entry.
+    An index is written by one session at a time; ``buckets`` is fixed when its first batch is accepted.
     """
 
-    def __init__(self, spark: SparkSession, path: str, threshold: float = 0.70) -> None:
-        self.spark, self.path, self.threshold = spark, path, threshold
-
-    def _signed(self, batch: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        return signatures(batch, id_col, text_col, summary=PIVOT_TABLE)
-
-    def _exists(self) -> bool:
-        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/cells")
-        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    def __init__(self, spark: SparkSession, path: str, threshold: float = 0.70, buckets: int | None = None) -> None:
+        self.spark, self.path, self.threshold = spark, path.rstrip("/"), threshold
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = f"seedloom_{hashlib.md5(self.path.encode()).hexdigest()}"
+
+    def _stored(self, kind: str) -> DataFrame | None:
+        """The table of cells or texts, registered by its buckets; None before the first batch."""
+        name = f"{self.name}_{kind}"
+        if not self.spark.catalog.tableExists(name):
+            if not exists(self.spark, f"{self.path}/layout"):
+                return None
+            self.buckets = self.spark.read.parquet(f"{self.path}/layout").first().buckets
+            columns = ["key bigint", "id bigint", "n int", "same bigint", *(f"{c} bigint" for c in PIVOT_TABLE.columns)] if kind == "cells" else ["id bigint", "text string"]
+            by = "key" if kind == "cells" else "id"
+            self.spark.sql(f"CREATE TABLE {name} ({', '.join(columns)}) USING parquet CLUSTERED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{kind}'")
+        return self.spark.table(name)
+
+    def _write(self, df: DataFrame, kind: str, by: str) -> None:
+        # one file a bucket and batch: the repartitioning is that of the buckets
+        spread = df.repartition(self.buckets, by)
+        spread.write.bucketBy(self.buckets, by).mode("append").option("path", f"{self.path}/{kind}").saveAsTable(f"{self.name}_{kind}")
+
+    def _signed(self, work: Workspace, batch: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(rows, classes, texts of the classes) of a batch."""
+        rows = work.keep(signatures(batch, id_col, text_col, summary=PIVOT_TABLE), "signed")
+        first = [F.first(c).alias(c) for c in (*PIVOT_TABLE.columns, "keys")]
+        classes = work.keep(rows.groupBy("same", "n").agg(F.min("id").alias("id"), *first), "classes")
+        texts = batch.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+        return rows, classes, texts.join(classes.select("id"), "id", "left_semi").dropDuplicates(["id"])
+
+    def _accept(self, classes: DataFrame, texts: DataFrame) -> None:
+        self._stored("cells")  # takes the number of buckets over from the index, if there is one
+        if not exists(self.spark, f"{self.path}/layout"):
+            self.spark.createDataFrame([(self.buckets,)], "buckets int").write.parquet(f"{self.path}/layout")
+        self._write(classes.select(F.explode("keys").alias("key"), *FIELDS), "cells", "key")
+        self._write(texts.join(classes.select("id"), "id", "left_semi"), "texts", "id")
 
     def append(self, batch: DataFrame, id_col: str = "row_id", text_col: str = "text") -> None:
-        signed = self._signed(batch, id_col, text_col)
-        cells = signed.select(F.explode("keys").alias("key"), "id", "n", "same", _range(self.threshold).alias("range"), *PIVOT_TABLE.columns)
-        cells.repartition("key").sortWithinPartitions("key", "range").write.mode("append").parquet(f"{self.path}/cells")
-        batch.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).write.mode("append").parquet(f"{self.path}/texts")
+        """Accept the rows of a batch."""
+        work = Workspace(self.spark, "append")
+        _, classes, texts = self._signed(work, batch, id_col, text_col)
+        self._accept(classes, texts)
+        work.clear()
 
     def probe(self, batch: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
         """Ids of the rows of ``batch`` that repeat an accepted row."""
-        ids = batch.select(F.col(id_col).cast("bigint").alias(id_col))
-        if not self._exists():
-            return ids.limit(0)
-        work = Workspace(self.spark, "probe")
-        cells, texts = self.spark.read.parquet(f"{self.path}/cells"), self.spark.read.parquet(f"{self.path}/texts")
-        mine = batch.select(F.col(id_col).cast("bigint").alias("b"), F.col(text_col).alias("tb"))
-        new = work.keep(self._signed(batch, id_col, text_col), "new").select(F.explode("keys").alias("key"), "id", "n", "same", *PIVOT_TABLE.columns)
-        fields = ["id", "n", "same", *PIVOT_TABLE.columns]
-        first = cells.groupBy("key").agg(F.min(F.struct(*fields)).alias("a"))
-        led = new.join(first, "key").select(F.struct(*fields).alias("b"), "a").filter(PIVOT_TABLE.near("a", "b", self.threshold))
-        done = work.keep(self._confirmed(led, texts, mine), "done")
-        left = new.join(done, "id", "left_anti").withColumn("range", F.explode(F.sequence(_range(self.threshold) - 1, _range(self.threshold) + 1)))
-        rest = cells.alias("a").join(left.alias("b"), ["key", "range"]).filter(PIVOT_TABLE.near("a", "b", self.threshold))
-        return done.union(self._confirmed(rest, texts, mine)).distinct().withColumnRenamed("id", id_col)
-
-    def _confirmed(self, pairs: DataFrame, texts: DataFrame, mine: DataFrame) -> DataFrame:
-        # ids of history and of the batch are looked up in their own tables
-        pairs = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-        return verified(pairs, texts, self.threshold, mine).select(F.col("b").alias("id")).distinct()
+        work, out = Workspace(self.spark, "probe"), Workspace(self.spark, "repeats")
+        rows, classes, texts = self._signed(work, batch, id_col, text_col)
+        found = out.keep(self._rows_of(rows, self._near(work, classes, texts)[0]), "repeats")
+        work.clear()
+        return found.withColumnRenamed("id", id_col)
+
+    def add(self, batch: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
+        """``probe`` and then ``append``."""
+        work, out = Workspace(self.spark, "add"), Workspace(self.spark, "repeats")
+        rows, classes, texts = self._signed(work, batch, id_col, text_col)
+        near, known = self._near(work, classes, texts)
+        found = out.keep(self._rows_of(rows, near), "repeats")
+        self._accept(classes.join(known, "id", "left_anti"), texts)
+        work.clear()
+        return found.withColumnRenamed("id", id_col)
+
+    def _rows_of(self, rows: DataFrame, near: DataFrame) -> DataFrame:
+        hit = rows.select("id", "same", "n").join(near.select(F.col("id").alias("class")), F.col("id") == F.col("class"), "left_semi")
+        return rows.select("id", "same", "n").join(hit.select("same", "n"), ["same", "n"], "left_semi").select("id").distinct()
+
+    def _near(self, work: Workspace, classes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(classes that repeat an accepted one, those whose very gram set is stored), by id."""
+        cells, history = self._stored("cells"), self._stored("texts")
+        if cells is None:
+            return (none := classes.select("id").limit(0)), none
+        mine = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+        asked = classes.select(F.explode("keys").alias("key"), F.struct(*FIELDS).alias("b"))
+        hit = work.keep(cells.join(asked.select("key"), "key", "left_semi").select("key", F.struct(*FIELDS).alias("a")), "hit")
+        large = work.keep(hit.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("a").alias("pivot")).filter(F.col("m") > DIRECT_BLOCK), "large")
+        any_large = not large.isEmpty()
+        small = hit.join(large.select("key"), "key", "left_anti") if any_large else hit
+        pairs = self._pairs(small.join(asked, "key"))
+        if any_large:
+            pairs = pairs.union(self._pairs(large.select("key", F.col("pivot").alias("a")).join(asked, "key")))
+        pairs = work.keep(pairs.distinct(), "pairs")
+        found = self._confirmed(work, pairs, history, mine)
+        if any_large:
+            pairs = work.keep(self._far_from_pivot(hit.join(large, "key"), asked.join(large, "key"), found).distinct(), "pairs")
+            found = found.union(self._confirmed(work, pairs, history, mine)).distinct()
+        known = hit.select("a.same", "a.n").distinct().join(classes.select("id", "same", "n"), ["same", "n"]).select("id")
+        return found, known
+
+    def _pairs(self, joined: DataFrame) -> DataFrame:
+        near = joined.filter(PIVOT_TABLE.near("a", "b", self.threshold))
+        return near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), hamming(PIVOT_TABLE.columns, "a", "b").alias("apart"))
+
+    def _far_from_pivot(self, stored: DataFrame, asked: DataFrame, found: DataFrame) -> DataFrame:
+        """Candidate pairs of large cells for classes that no link was found for yet: joined by ranges of the size and of
+        the distance to the cell's pivot, and by slices within them."""
+        early = stored.select("key", "a", "m", "a.id", hamming(PIVOT_TABLE.columns, "a", "pivot").alias("h"), _range(self.threshold, "a.n").alias("range"))
+        early = early.select("key", "a", "range", F.floor(F.col("h") / _width(F.col("range"), self.threshold)).cast("int").alias("ring"), slice_of().alias("slice"))
+        late = asked.join(found, F.col("b.id") == found["id"], "left_anti")
+        own = _range(self.threshold, "b.n")
+        late = late.select("key", "b", "m", hamming(PIVOT_TABLE.columns, "b", "pivot").alias("h"), F.explode(F.sequence(own - 1, own + 1)).alias("range"))
+        ring = F.floor(F.col("h") / _width(F.col("range"), self.threshold)).cast("int")
+        late = late.select("key", "b", "range", F.explode(F.sequence(ring - 1, ring + 1)).alias("ring"), F.sequence(F.lit(0), slices() - 1).alias("slices"))
+        late = late.select("key", "b", "range", "ring", F.explode("slices").alias("slice"))
+        return self._pairs(early.join(late, ["key", "range", "ring", "slice"]))
+
+    def _confirmed(self, work: Workspace, pairs: DataFrame, history: DataFrame, mine: DataFrame) -> DataFrame:
+        """Classes b with a pair of the wanted similarity. One similar record is enough, so the nearest is tried first."""
+        nearest = pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("at")).select(F.col("at.a").alias("a"), "b")
+        first = work.keep(verified(nearest, history, self.threshold, mine).select(F.col("b").alias("id")), "found")
+        rest = pairs.join(first, F.col("b") == F.col("id"), "left_anti").join(nearest, ["a", "b"], "left_anti").select("a", "b")
+        more = work.keep(verified(rest, history, self.threshold, mine).select(F.col("b").alias("id")).distinct(), "found")
+        return first.union(more)
+
+    def drop(self) -> None:
+        """Delete the index."""
+        for kind in ("cells", "texts"):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{kind}")
+        delete(self.spark, self.path)
+
+
+def repeats_of_earlier(df: DataFrame, id_col: str = "row_id", text_col: str = "text", batch_col: str = "batch_no", threshold: float = 0.70) -> DataFrame:
+    """Ids of the rows that repeat, exactly or nearly, a row of an earlier batch: a ``BatchIndex`` fed batch by batch.
+
+    Null texts, texts under three characters and rows without id or batch repeat nothing; rows of one batch don't count
+    as repeats of each other; further columns are ignored; an empty table gives an empty result. There are few batches
+    beside rows: their numbers are read by the driver.
+    """
+    spark = df.sparkSession
+    work = Workspace(spark, "batch-history")
+    index = BatchIndex(spark, f"{work.root}/index", threshold)
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(batch_col).cast("bigint").alias("batch"))
+    numbers = [r.batch for r in rows.filter("batch is not null").select("batch").distinct().orderBy("batch").collect()]
+    found = [index.add(rows.filter(F.col("batch") == number), "id", "text") for number in numbers]
+    index.drop()
+    whole = rows.select("id").limit(0)
+    for part in found:
+        whole = whole.union(part)
+    return whole.select(F.col("id").cast("bigint").alias(id_col)).distinct()
 
 
 def p1_found(spark, sf_dir):

@@ -45,6 +45,13 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def hamming(words: list[str], left: str, right: str) -> Column:
+    distance = F.lit(0)
+    for word in words:
+        distance = distance + F.bit_count(F.col(f"{left}.{word}").bitwiseXOR(F.col(f"{right}.{word}")))
+    return distance
+
+
 @dataclass(frozen=True)
 class Summary:
     """A few 64-bit words per gram set, and what two of them say about the similarity of the sets."""
@@ -62,9 +69,7 @@ class Summary:
     def near(self, left: str, right: str, threshold: float) -> Column:
         """What every pair of the wanted similarity fulfils: the sizes allow it and so do the words."""
         a, b = F.col(f"{left}.n"), F.col(f"{right}.n")
-        distance = F.lit(0)
-        for word in self.columns:
-            distance = distance + F.bit_count(F.col(f"{left}.{word}").bitwiseXOR(F.col(f"{right}.{word}")))
+        distance = hamming(self.columns, left, right)
         return (a >= F.lit(threshold) * b) & (b >= F.lit(threshold) * a) & self.allows(distance, a, b, threshold)
 
 
