@@ -68,22 +68,29 @@ def _width(size_range: Column, threshold: float) -> Column:
     return F.ceil(F.lit(_share(threshold)) * top * (1 + 1 / threshold)) + 1
 
 
-FIELDS = ["id", "n", "same", *PIVOT_TABLE.columns]
+CODES = ["n", *PIVOT_TABLE.columns]
+#: Number of a batch that is probed but not accepted: later than all.
+LAST = 2**62
+_COLUMNS = {
+    "cells": "key bigint, id bigint, n int, batch bigint",
+    "records": f"id bigint, batch bigint, n int, same bigint, {', '.join(f'{c} bigint' for c in PIVOT_TABLE.columns)}, text string",
+}
+_BUCKET_BY = {"cells": "key", "records": "id"}
 
 
 class BatchIndex:
-    """The pivot-distance table of all accepted records, in a folder that grows by one part per batch.
+    """The pivot-distance table of all accepted records, in a folder that grows by one part per accepted table.
 
-    ``probe`` finds the rows of a new batch that repeat an accepted one, ``append`` accepts rows, ``add`` does both and
-    signs the batch once. History is never signed, shuffled, or compared with itself again: its cells are stored in
-    buckets of their key, its texts in buckets of their id, so a probe shuffles only the new batch to them and keeps of
-    the cells those that the batch occurs in. Everything after that follows the batch: of each text the candidate of
-    the least distance is verified first, others only where that fails; a cell of over ``DIRECT_BLOCK`` records is first
-    asked for its pivot, and then by ranges of size and pivot distance, sliced, as it may hold a third of all records.
+    ``probe`` finds the rows of a new batch that repeat an accepted one, ``append`` accepts rows, ``add`` does both for one
+    or several new batches and signs them once. History is never signed or shuffled again: its cells (key, id) are stored
+    in buckets of the key, its records with their pivot distances and texts in buckets of the id, and what is new is
+    shuffled to them. Candidates follow the new batch: they are pruned by the triangle inequality, of each text the
+    nearest one is verified first, others only where that fails. A cell of over ``DIRECT_BLOCK`` records is first asked for
+    its pivot, and then by ranges of size and pivot distance, sliced, as it may hold a third of all records.
 
     Records of one gram set form a class, of which the first is stored; a class that is stored isn't stored again.
     Null texts, texts under three characters and rows without id repeat nothing and are accepted without an entry.
-    An index is written by one session at a time; ``buckets`` is fixed when its first batch is accepted.
+    An index is written by one session at a time; ``buckets`` is fixed when its first rows are accepted.
     """
 
     def __init__(self, spark: SparkSession, path: str, threshold: float = 0.70, buckets: int | None = None) -> None:
@@ -92,138 +99,154 @@ class BatchIndex:
         self.name = f"seedloom_{hashlib.md5(self.path.encode()).hexdigest()}"
 
     def _stored(self, kind: str) -> DataFrame | None:
-        """The table of cells or texts, registered by its buckets; None before the first batch."""
+        """The table of cells or records, registered by its buckets; None before anything is accepted."""
         name = f"{self.name}_{kind}"
         if not self.spark.catalog.tableExists(name):
             if not exists(self.spark, f"{self.path}/layout"):
                 return None
             self.buckets = self.spark.read.parquet(f"{self.path}/layout").first().buckets
-            columns = ["key bigint", "id bigint", "n int", "same bigint", *(f"{c} bigint" for c in PIVOT_TABLE.columns)] if kind == "cells" else ["id bigint", "text string"]
-            by = "key" if kind == "cells" else "id"
-            self.spark.sql(f"CREATE TABLE {name} ({', '.join(columns)}) USING parquet CLUSTERED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{kind}'")
+            self.spark.sql(f"CREATE TABLE {name} ({_COLUMNS[kind]}) USING parquet CLUSTERED BY ({_BUCKET_BY[kind]}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{kind}'")
         return self.spark.table(name)
 
-    def _write(self, df: DataFrame, kind: str, by: str) -> None:
-        # one file a bucket and batch: the repartitioning is that of the buckets
-        spread = df.repartition(self.buckets, by)
-        spread.write.bucketBy(self.buckets, by).mode("append").option("path", f"{self.path}/{kind}").saveAsTable(f"{self.name}_{kind}")
+    def _write(self, df: DataFrame, kind: str) -> None:
+        # one file a bucket and part: the repartitioning is that of the buckets
+        spread = df.repartition(self.buckets, _BUCKET_BY[kind])
+        spread.write.bucketBy(self.buckets, _BUCKET_BY[kind]).mode("append").option("path", f"{self.path}/{kind}").saveAsTable(f"{self.name}_{kind}")
 
-    def _signed(self, work: Workspace, batch: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(rows, classes, texts of the classes) of a batch."""
-        rows = work.keep(signatures(batch, id_col, text_col, summary=PIVOT_TABLE), "signed")
-        first = [F.first(c).alias(c) for c in (*PIVOT_TABLE.columns, "keys")]
-        classes = work.keep(rows.groupBy("same", "n").agg(F.min("id").alias("id"), *first), "classes")
-        texts = batch.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-        return rows, classes, texts.join(classes.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    def _signed(self, work: Workspace, df: DataFrame, id_col: str, text_col: str, number: Column) -> tuple[DataFrame, DataFrame]:
+        """(rows, classes) of new rows: (id, batch, n, same), and per gram set its first batch and that batch's least id."""
+        numbered = df.withColumn("batch", number.cast("bigint")).filter("batch is not null")
+        rows = work.keep(signatures(numbered, id_col, text_col, {"batch": "bigint"}, PIVOT_TABLE), "signed")
+        at = F.min(F.struct("batch", "id")).alias("at")
+        classes = rows.groupBy("same", "n").agg(at, *(F.first(c).alias(c) for c in (*PIVOT_TABLE.columns, "keys")))
+        return rows, work.keep(classes.select("same", "n", F.col("at.batch").alias("batch"), F.col("at.id").alias("id"), *PIVOT_TABLE.columns, "keys"), "classes")
 
-    def _accept(self, classes: DataFrame, texts: DataFrame) -> None:
+    def _accept(self, classes: DataFrame, df: DataFrame, id_col: str, text_col: str) -> None:
         self._stored("cells")  # takes the number of buckets over from the index, if there is one
         if not exists(self.spark, f"{self.path}/layout"):
             self.spark.createDataFrame([(self.buckets,)], "buckets int").write.parquet(f"{self.path}/layout")
-        self._write(classes.select(F.explode("keys").alias("key"), *FIELDS), "cells", "key")
-        self._write(texts.join(classes.select("id"), "id", "left_semi"), "texts", "id")
+        self._write(classes.select(F.explode("keys").alias("key"), "id", "n", "batch"), "cells")
+        texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+        self._write(classes.select("id", "batch", "n", "same", *PIVOT_TABLE.columns).join(texts, "id").dropDuplicates(["id"]), "records")
 
-    def append(self, batch: DataFrame, id_col: str = "row_id", text_col: str = "text") -> None:
+    def append(self, batch: DataFrame, id_col: str = "row_id", text_col: str = "text", number: int = 0) -> None:
         """Accept the rows of a batch."""
         work = Workspace(self.spark, "append")
-        _, classes, texts = self._signed(work, batch, id_col, text_col)
-        self._accept(classes, texts)
+        classes = self._signed(work, batch, id_col, text_col, F.lit(number))[1]
+        self._accept(classes.join(self._copies(classes), "id", "left_anti"), batch, id_col, text_col)
         work.clear()
 
     def probe(self, batch: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
         """Ids of the rows of ``batch`` that repeat an accepted row."""
-        work, out = Workspace(self.spark, "probe"), Workspace(self.spark, "repeats")
-        rows, classes, texts = self._signed(work, batch, id_col, text_col)
-        found = out.keep(self._rows_of(rows, self._near(work, classes, texts)[0]), "repeats")
+        return self._run(batch, id_col, text_col, F.lit(LAST), False)
+
+    def add(self, batches: DataFrame, id_col: str = "row_id", text_col: str = "text", batch_col: str = "batch_no") -> DataFrame:
+        """Accept new batches, told apart by ``batch_col``, and give the ids of their rows that repeat a row of a smaller
+        batch, be it accepted before or now. Their numbers follow those accepted before."""
+        return self._run(batches, id_col, text_col, F.col(batch_col), True)
+
+    def _run(self, df: DataFrame, id_col: str, text_col: str, number: Column, accept: bool) -> DataFrame:
+        work, out = Workspace(self.spark, "batch"), Workspace(self.spark, "repeats")
+        rows, classes = self._signed(work, df, id_col, text_col, number)
+        copies = work.keep(self._copies(classes), "copies")
+        fresh = classes.join(copies, "id", "left_anti")
+        if accept:
+            self._accept(fresh, df, id_col, text_col)
+        near = self._near(work, fresh, df.select(F.col(id_col).cast("bigint").alias("b"), F.col(text_col).alias("tb")))
+        known = classes.join(copies.union(near).withColumn("linked", F.lit(True)), "id", "left").select("same", "n", F.col("batch").alias("first"), "linked")
+        hit = rows.select("same", "n", "id", "batch").join(known, ["same", "n"]).filter((F.col("batch") > F.col("first")) | F.col("linked"))
+        found = out.keep(hit.select(F.col("id").alias(id_col)).distinct(), "repeats")
         work.clear()
-        return found.withColumnRenamed("id", id_col)
-
-    def add(self, batch: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
-        """``probe`` and then ``append``."""
-        work, out = Workspace(self.spark, "add"), Workspace(self.spark, "repeats")
-        rows, classes, texts = self._signed(work, batch, id_col, text_col)
-        near, known = self._near(work, classes, texts)
-        found = out.keep(self._rows_of(rows, near), "repeats")
-        self._accept(classes.join(known, "id", "left_anti"), texts)
-        work.clear()
-        return found.withColumnRenamed("id", id_col)
-
-    def _rows_of(self, rows: DataFrame, near: DataFrame) -> DataFrame:
-        hit = rows.select("id", "same", "n").join(near.select(F.col("id").alias("class")), F.col("id") == F.col("class"), "left_semi")
-        return rows.select("id", "same", "n").join(hit.select("same", "n"), ["same", "n"], "left_semi").select("id").distinct()
+        return found
 
-    def _near(self, work: Workspace, classes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(classes that repeat an accepted one, those whose very gram set is stored), by id."""
-        cells, history = self._stored("cells"), self._stored("texts")
+    def _copies(self, classes: DataFrame) -> DataFrame:
+        """Ids of the classes whose very gram set is stored: a record of it has all its keys, so one of them tells where."""
+        cells, records = self._stored("cells"), self._stored("records")
         if cells is None:
-            return (none := classes.select("id").limit(0)), none
-        mine = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-        asked = classes.select(F.explode("keys").alias("key"), F.struct(*FIELDS).alias("b"))
-        hit = work.keep(cells.join(asked.select("key"), "key", "left_semi").select("key", F.struct(*FIELDS).alias("a")), "hit")
-        large = work.keep(hit.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("a").alias("pivot")).filter(F.col("m") > DIRECT_BLOCK), "large")
-        any_large = not large.isEmpty()
-        small = hit.join(large.select("key"), "key", "left_anti") if any_large else hit
-        pairs = self._pairs(small.join(asked, "key"))
+            return classes.select("id").limit(0)
+        first = classes.select(F.element_at("keys", 1).alias("key"), "n", "same", F.col("id").alias("own"))
+        likely = cells.join(first, ["key", "n"]).select("id", "same", "own")
+        return likely.join(records.select("id", "same"), ["id", "same"]).select(F.col("own").alias("id")).distinct()
+
+    def _near(self, work: Workspace, fresh: DataFrame, mine: DataFrame) -> DataFrame:
+        """Ids of the fresh classes that are similar to a stored one of a smaller batch."""
+        cells, records = self._stored("cells"), self._stored("records")
+        if cells is None:
+            return fresh.select("id").limit(0)
+        asked = fresh.select(F.explode("keys").alias("key"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("batch").alias("later"))
+        # the cells are read bucket by bucket; of their counts only those of large ones and of those with company matter
+        counts = work.keep(cells.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("batch", "id")).alias("first")).filter(F.col("m") > DIRECT_BLOCK), "large")
+        any_large = not counts.isEmpty()
+        earlier = (F.col("batch") < F.col("later")) & (F.col("n") >= F.lit(self.threshold) * F.col("nb")) & (F.col("nb") >= F.lit(self.threshold) * F.col("n"))
+        small = cells.join(counts.select("key"), "key", "left_anti") if any_large else cells
+        raw = small.join(asked, "key").filter(earlier).select(F.col("id").alias("a"), "b")
         if any_large:
-            pairs = pairs.union(self._pairs(large.select("key", F.col("pivot").alias("a")).join(asked, "key")))
-        pairs = work.keep(pairs.distinct(), "pairs")
-        found = self._confirmed(work, pairs, history, mine)
+            led = asked.join(counts, "key").filter(F.col("first.batch") < F.col("later")).select(F.col("first.id").alias("a"), "b")
+            raw = raw.union(led)
+        codes = fresh.select(F.col("id").alias("b"), F.struct("id", *CODES).alias("mine"))
+        met = raw.distinct().join(records.select(F.col("id").alias("a"), F.struct("id", *CODES).alias("old")), "a").join(codes, "b")
+        pairs = work.keep(self._pairs(met), "pairs")
+        found = self._confirmed(work, pairs, records, mine)
         if any_large:
-            pairs = work.keep(self._far_from_pivot(hit.join(large, "key"), asked.join(large, "key"), found).distinct(), "pairs")
-            found = found.union(self._confirmed(work, pairs, history, mine)).distinct()
-        known = hit.select("a.same", "a.n").distinct().join(classes.select("id", "same", "n"), ["same", "n"]).select("id")
-        return found, known
+            pairs = work.keep(self._far_from_pivot(cells, records, counts, asked.join(found.withColumnRenamed("id", "b"), "b", "left_anti"), codes).distinct(), "pairs")
+            found = found.union(self._confirmed(work, pairs, records, mine)).distinct()
+        return found
 
-    def _pairs(self, joined: DataFrame) -> DataFrame:
-        near = joined.filter(PIVOT_TABLE.near("a", "b", self.threshold))
-        return near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), hamming(PIVOT_TABLE.columns, "a", "b").alias("apart"))
+    def _pairs(self, met: DataFrame) -> DataFrame:
+        near = met.filter(PIVOT_TABLE.near("old", "mine", self.threshold))
+        return near.select(F.col("old.id").alias("a"), F.col("mine.id").alias("b"), hamming(PIVOT_TABLE.columns, "old", "mine").alias("apart"))
 
-    def _far_from_pivot(self, stored: DataFrame, asked: DataFrame, found: DataFrame) -> DataFrame:
+    def _far_from_pivot(self, cells: DataFrame, records: DataFrame, large: DataFrame, asked: DataFrame, codes: DataFrame) -> DataFrame:
         """Candidate pairs of large cells for classes that no link was found for yet: joined by ranges of the size and of
         the distance to the cell's pivot, and by slices within them."""
-        early = stored.select("key", "a", "m", "a.id", hamming(PIVOT_TABLE.columns, "a", "pivot").alias("h"), _range(self.threshold, "a.n").alias("range"))
-        early = early.select("key", "a", "range", F.floor(F.col("h") / _width(F.col("range"), self.threshold)).cast("int").alias("ring"), slice_of().alias("slice"))
-        late = asked.join(found, F.col("b.id") == found["id"], "left_anti")
-        own = _range(self.threshold, "b.n")
-        late = late.select("key", "b", "m", hamming(PIVOT_TABLE.columns, "b", "pivot").alias("h"), F.explode(F.sequence(own - 1, own + 1)).alias("range"))
+        of_pivot = large.select("key", "m", F.col("first.id").alias("id")).join(records.select("id", F.struct(*CODES).alias("pivot")), "id").select("key", "m", "pivot")
+        old = records.select("id", "batch", F.struct("id", *CODES).alias("old"))
+        early = cells.select("key", "id").join(of_pivot, "key").join(old, "id")
+        early = early.withColumn("range", _range(self.threshold, "old.n")).withColumn("h", hamming(PIVOT_TABLE.columns, "old", "pivot"))
+        early = early.select("key", "batch", "old", "range", F.floor(F.col("h") / _width(F.col("range"), self.threshold)).cast("int").alias("ring"), slice_of().alias("slice"))
+        late = asked.select("key", "b", "later").join(of_pivot, "key").join(codes, "b")
+        own = _range(self.threshold, "mine.n")
+        late = late.select("key", "later", "mine", "m", hamming(PIVOT_TABLE.columns, "mine", "pivot").alias("h"), F.explode(F.sequence(own - 1, own + 1)).alias("range"))
         ring = F.floor(F.col("h") / _width(F.col("range"), self.threshold)).cast("int")
-        late = late.select("key", "b", "range", F.explode(F.sequence(ring - 1, ring + 1)).alias("ring"), F.sequence(F.lit(0), slices() - 1).alias("slices"))
-        late = late.select("key", "b", "range", "ring", F.explode("slices").alias("slice"))
-        return self._pairs(early.join(late, ["key", "range", "ring", "slice"]))
+        late = late.select("key", "later", "mine", "m", "range", F.explode(F.sequence(ring - 1, ring + 1)).alias("ring"))
+        late = late.select("key", "later", "mine", "range", "ring", F.explode(F.sequence(F.lit(0), slices() - 1)).alias("slice"))
+        return self._pairs(early.join(late, ["key", "range", "ring", "slice"]).filter(F.col("batch") < F.col("later")))
 
-    def _confirmed(self, work: Workspace, pairs: DataFrame, history: DataFrame, mine: DataFrame) -> DataFrame:
+    def _confirmed(self, work: Workspace, pairs: DataFrame, records: DataFrame, mine: DataFrame) -> DataFrame:
         """Classes b with a pair of the wanted similarity. One similar record is enough, so the nearest is tried first."""
+        history = records.select("id", "text")
         nearest = pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("at")).select(F.col("at.a").alias("a"), "b")
         first = work.keep(verified(nearest, history, self.threshold, mine).select(F.col("b").alias("id")), "found")
-        rest = pairs.join(first, F.col("b") == F.col("id"), "left_anti").join(nearest, ["a", "b"], "left_anti").select("a", "b")
-        more = work.keep(verified(rest, history, self.threshold, mine).select(F.col("b").alias("id")).distinct(), "found")
+        rest = pairs.select("a", "b").join(first.withColumnRenamed("id", "b"), "b", "left_anti").join(nearest, ["a", "b"], "left_anti")
+        more = work.keep(verified(rest.select("a", "b"), history, self.threshold, mine).select(F.col("b").alias("id")).distinct(), "found")
         return first.union(more)
 
     def drop(self) -> None:
         """Delete the index."""
-        for kind in ("cells", "texts"):
+        for kind in _COLUMNS:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{kind}")
         delete(self.spark, self.path)
 
 
 def repeats_of_earlier(df: DataFrame, id_col: str = "row_id", text_col: str = "text", batch_col: str = "batch_no", threshold: float = 0.70) -> DataFrame:
-    """Ids of the rows that repeat, exactly or nearly, a row of an earlier batch: a ``BatchIndex`` fed batch by batch.
+    """Ids of the rows that repeat, exactly or nearly, a row of an earlier batch.
+
+    A ``BatchIndex`` accepts the first batch, which is history, and is then given the others, in one ``add``, as they have
+    all arrived; feeding them one by one gives the same rows.
 
     Null texts, texts under three characters and rows without id or batch repeat nothing; rows of one batch don't count
-    as repeats of each other; further columns are ignored; an empty table gives an empty result. There are few batches
-    beside rows: their numbers are read by the driver.
+    as repeats of each other; further columns are ignored; an empty table gives an empty result.
     """
     spark = df.sparkSession
-    work = Workspace(spark, "batch-history")
-    index = BatchIndex(spark, f"{work.root}/index", threshold)
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(batch_col).cast("bigint").alias("batch"))
-    numbers = [r.batch for r in rows.filter("batch is not null").select("batch").distinct().orderBy("batch").collect()]
-    found = [index.add(rows.filter(F.col("batch") == number), "id", "text") for number in numbers]
+    index = BatchIndex(spark, f"{Workspace(spark, 'batch-history').root}/index", threshold)
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.col(batch_col).cast("bigint").alias("batch"))
+    first = rows.agg(F.min("batch")).first()[0]
+    if first is None:
+        return rows.select(F.col("id").alias(id_col)).limit(0)
+    index.append(rows.filter(F.col("batch") == first), "id", "text", first)
+    found = index.add(rows.filter(F.col("batch") > first), "id", "text", "batch")
     index.drop()
-    whole = rows.select("id").limit(0)
-    for part in found:
-        whole = whole.union(part)
-    return whole.select(F.col("id").cast("bigint").alias(id_col)).distinct()
+    return found.withColumnRenamed("id", id_col)
 
 
 def p1_found(spark, sf_dir):
