@@ -28,8 +28,10 @@ MAX_HAMMING = 50
 DIRECT_BLOCK = 256
 #: Classes of a large block that one task handles together, on average.
 SLICE = 4096
-#: A list of large blocks up to this length is broadcast, 16 bytes each.
-SHORT_LIST = 200_000
+#: A list of shared blocks up to this length is broadcast, 16 bytes each.
+SHORT_LIST = 1_000_000
+#: Gram sets that a task keeps while it checks pairs.
+HELD = 2_000
 
 _RNG = np.random.default_rng(20240229)
 _MUL = _RNG.integers(1, 2**32, BLOCKS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -140,17 +142,21 @@ class Blocks:
 
 
 def blocks(work: Workspace, classes: DataFrame) -> Blocks:
-    """One row per class and block. Blocks are counted first, which combines a hot block's rows before the shuffle, so
-    that no task ever gathers a large block; the list of large ones is broadcast only if it is short."""
+    """One row per class and block that it shares with another. Blocks are counted first, which combines a hot block's
+    rows before the shuffle, so that no task ever gathers a large block, and leaves out the blocks of one class, which
+    are most. The list of the others is broadcast if it is short; else ids and keys are joined with it, and the classes
+    with what is left."""
     fields = [F.col(c) for c in classes.columns if c != "keys"]
-    rows = classes.select(F.explode("keys").alias("key"), *fields)
     counts = classes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("m"))
-    large = work.keep(counts.filter(F.col("m") > DIRECT_BLOCK), "large-blocks")
-    known = large.count()
-    listed = F.broadcast(large) if known <= SHORT_LIST else large
+    shared = work.keep(counts.filter("m > 1"), "shared-blocks")
+    known, large = shared.agg(F.count(F.lit(1)), F.max("m")).first()
+    if known <= SHORT_LIST:
+        rows = classes.select(F.explode("keys").alias("key"), *fields).join(F.broadcast(shared), "key")
+    else:
+        rows = classes.select(F.explode("keys").alias("key"), "id").join(shared, "key").join(classes.drop("keys"), "id")
+    rows = rows.select("key", "m", *fields)
     parts = 4 * int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small = rows.join(listed.select("key"), "key", "left_anti") if known else rows
-    return Blocks(small.repartition(parts, "key"), rows.join(listed, "key"), known > 0)
+    return Blocks(rows.filter(F.col("m") <= DIRECT_BLOCK).drop("m").repartition(parts, "key"), rows.filter(F.col("m") > DIRECT_BLOCK), (large or 0) > DIRECT_BLOCK)
 
 
 def slices() -> Column:
@@ -163,14 +169,14 @@ def slice_of() -> Column:
 
 
 def direct_pairs(blocked: Blocks, threshold: float, also: Callable[[str, str], Column], summary: Summary = FINGERPRINT) -> DataFrame:
-    """Distinct candidate pairs (a, b) of the small blocks; both sides of the join share one shuffle."""
+    """Distinct candidate pairs (a, b, Hamming distance) of the small blocks; both sides of the join share one shuffle."""
     small = blocked.small
     joined = small.alias("a").join(small.alias("b"), (F.col("a.key") == F.col("b.key")) & also("a", "b") & summary.near("a", "b", threshold))
-    return joined.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    return joined.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), hamming(summary.columns, "a", "b").alias("apart")).distinct()
 
 
 def leader_pairs(blocked: Blocks, threshold: float, order: list[str], summary: Summary = FINGERPRINT, also: Callable[[str, str], Column] | None = None) -> DataFrame:
-    """Candidate pairs (a, b) of large blocks: each class with the block's first one, and with the one before it in its
+    """Candidate pairs (a, b, Hamming distance) of large blocks: each class with the block's first one, and with the one before it in its
     slice of the block."""
     fields = [c for c in blocked.large.columns if c not in ("key", "m")]
     ordered = [*order, *(c for c in fields if c not in order)]
@@ -179,7 +185,7 @@ def leader_pairs(blocked: Blocks, threshold: float, order: list[str], summary: S
     rows = blocked.large.withColumn("slice", slice_of()).withColumn("before", F.lag(F.struct(*ordered)).over(by)).join(first, "key")
     both = rows.select(F.explode(F.array("first", "before")).alias("a"), F.struct(*ordered).alias("b")).filter("a is not null")
     wanted = summary.near("a", "b", threshold) & (also("a", "b") if also else F.col("a.id") != F.col("b.id"))
-    return both.filter(wanted).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    return both.filter(wanted).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), hamming(summary.columns, "a", "b").alias("apart")).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, others: DataFrame | None = None) -> DataFrame:
@@ -187,15 +193,20 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, others: DataF
     without ``others``, b; ``others``: (b, tb)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes: dict[str, np.ndarray] = {}
+
+        def of(text: str) -> np.ndarray:
+            found = codes.get(text)
+            if found is None:
+                if len(codes) > HELD:
+                    codes.clear()
+                found = codes[text] = gram_codes(text)
+            return found
+
         for batch in batches:
-            kept: list[int] = []
-            last, codes = None, np.empty(0, np.int64)
-            for i, (left, right) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                if left != last:
-                    last, codes = left, gram_codes(left)
-                if jaccard(codes, gram_codes(right)) >= threshold:
-                    kept.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), batch.column(1).take(pa.array(kept, pa.int64()))], ["a", "b"])
+            pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            kept = pa.array([i for i, (left, right) in enumerate(pairs) if jaccard(of(left), of(right)) >= threshold], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept)], ["a", "b"])
 
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb")) if others is None else others

@@ -17,6 +17,9 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "row_id", text_col: str =
     nothing later. Classes are compared if they share a fingerprint block and their Hamming distance is small, and
     each link is confirmed on the texts.
 
+    Links that say nothing new aren't looked for: first every class is compared with its nearest candidates, then only
+    candidates in different components, and the components of those links are those of the components found before.
+
     A block of more than ``DIRECT_BLOCK`` classes is not joined with itself. Its classes are compared with the block's
     first class and their predecessor; after the components of all links so far are known, only pairs of that block
     that lie in different components remain, and those are compared without exception. So no pair that shares a block
@@ -34,19 +37,39 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "row_id", text_col: str =
     if blocked.any_large:
         near = near.union(leader_pairs(blocked, threshold, ["id"])).distinct()
     pairs = work.keep(near, "pairs")
-    links = work.keep(verified(pairs, texts, threshold), "links")
-    found = work.keep(components(work, links), "components")
+    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
+    nearest = both.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("at")).select(F.least("at.a", "b").alias("a"), F.greatest("at.a", "b").alias("b"))
+    links = work.keep(verified(nearest.distinct(), texts, threshold), "links")
+    found = components(work, links)
+    left = pairs.select("a", "b").join(nearest, ["a", "b"], "left_anti")
     if blocked.any_large:
-        across = _across(blocked.large, found, threshold)
-        pairs = work.keep(across, "pairs")
-        late = work.keep(verified(pairs, texts, threshold), "links")
-        found = work.keep(components(work, links.union(late)), "components")
+        left = left.union(_across(blocked.large, found, threshold)).distinct()
+    left = work.keep(_apart(left, found), "pairs")
+    late = work.keep(verified(left.select("a", "b"), texts, threshold).join(left, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "links")
+    # what was one component stays one: only the smallest ids of components are joined further
+    over = components(work, late)
+    found = work.keep(_merged(found, over), "components")
+    work.drop(links, left, late, pairs)
     grouped = signed.select("id", "same", "n").join(classes.select(F.col("id").alias("class")).join(found.withColumnRenamed("id", "class"), "class", "left").join(signed.select(F.col("id").alias("class"), "same", "n"), "class"), ["same", "n"])
     rows = grouped.select(F.coalesce("root", "class").alias("group_id"), "id").distinct()
     sizes = rows.groupBy("group_id").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("group_id")
     return rows.join(sizes, "group_id").select("group_id", F.col("id").alias(id_col))
 
 
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b, root_a, root_b) of the pairs whose classes lie in different components."""
+    for side in ("a", "b"):
+        pairs = pairs.join(found.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}")), side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+    return pairs.filter("root_a <> root_b").select("a", "b", "root_a", "root_b")
+
+
+def _merged(found: DataFrame, over: DataFrame) -> DataFrame:
+    """(id, root) of all classes in a component, whose roots may have been joined by ``over``."""
+    final = over.select(F.col("id").alias("root"), F.col("root").alias("final"))
+    nodes = found.join(final, "root", "left").select("id", F.coalesce("final", "root").alias("root"))
+    return nodes.union(over.join(found.select("id"), "id", "left_anti").select("id", "root"))
+
+
 def _across(large: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     """Candidate pairs of large blocks whose classes lie in different components.
 
