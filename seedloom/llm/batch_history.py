@@ -30,8 +30,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import fingerprint
 from .base import Workspace, delete, exists, table
-from .fingerprint import DIRECT_BLOCK, Summary, hamming, signatures, slice_of, slices, verified
+from .fingerprint import Summary, hamming, signatures, slice_of, slices, verified
 
 PIVOTS = 96
 CODE = 4
@@ -175,7 +176,7 @@ class BatchIndex:
             return fresh.select("id").limit(0)
         asked = fresh.select(F.explode("keys").alias("key"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("batch").alias("later"))
         # the cells are read bucket by bucket; of their counts only those of large ones and of those with company matter
-        counts = work.keep(cells.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("batch", "id")).alias("first")).filter(F.col("m") > DIRECT_BLOCK), "large")
+        counts = work.keep(cells.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("batch", "id")).alias("first")).filter(F.col("m") > fingerprint.DIRECT_BLOCK), "large")
         any_large = not counts.isEmpty()
         earlier = (F.col("batch") < F.col("later")) & (F.col("n") >= F.lit(self.threshold) * F.col("nb")) & (F.col("nb") >= F.lit(self.threshold) * F.col("n"))
         small = cells.join(counts.select("key"), "key", "left_anti") if any_large else cells

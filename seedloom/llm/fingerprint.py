@@ -30,6 +30,8 @@ DIRECT_BLOCK = 256
 SLICE = 4096
 #: A list of shared blocks up to this length is broadcast, 16 bytes each.
 SHORT_LIST = 1_000_000
+#: Edges that one task joins to components, at most; more take distributed rounds, with the same outcome.
+ONE_TASK = 200_000
 #: Gram sets that a task keeps while it checks pairs.
 HELD = 2_000
 
@@ -213,6 +215,25 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, others: DataF
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, least id connected with it) of at most ``ONE_TASK`` edges."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (above := parent.setdefault(top, top)) != top:
+            top = above
+        while x != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(u), root(v)
+            parent[max(a, b)] = min(a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(list(parent), pa.int64()), pa.array([root(x) for x in list(parent)], pa.int64())], ["id", "root"])
+
+
 def components(work: Workspace, edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b): (id, root), root being the smallest id; nodes without edge are absent.
 
@@ -220,6 +241,8 @@ def components(work: Workspace, edges: DataFrame) -> DataFrame:
     written to the shared folder after every round. Only two numbers per round reach the driver.
     """
     current = work.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
+    if current.limit(ONE_TASK + 1).count() <= ONE_TASK:
+        return work.keep(current.coalesce(1).mapInArrow(_united, "id bigint, root bigint"), "components")
     seen = None
     while True:
         both = current.select("u", "v").union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))

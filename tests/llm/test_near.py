@@ -69,6 +69,13 @@ def tiny_blocks(monkeypatch):
     """Every block of more than two classes takes the leader path, in slices of three."""
     monkeypatch.setattr(fingerprint, "DIRECT_BLOCK", 2)
     monkeypatch.setattr(fingerprint, "SLICE", 3)
+    monkeypatch.setattr(fingerprint, "ONE_TASK", 0)
+
+
+@pytest.fixture
+def long_lists(monkeypatch):
+    """The list of shared blocks is too long to be broadcast."""
+    monkeypatch.setattr(fingerprint, "SHORT_LIST", 0)
 
 
 def test_similarity_follows_the_statement():
@@ -111,6 +118,12 @@ def test_groups_by_the_leader_path(spark, tiny_blocks):
     assert got == true_groups(texts)
 
 
+def test_groups_with_a_long_list_of_blocks(spark, long_lists):
+    texts = dict(enumerate(corpus(8, 120)))
+    got = {(r.group_id, r.row_id) for r in near_groups.near_duplicate_groups(frame(spark, texts)).collect()}
+    assert got == true_groups(texts)
+
+
 def test_a_hot_group_is_one_group(spark):
     base = " ".join(WORDS)
     texts = {i: f"{base} {WORDS[i % 24]}{i % 7}" for i in range(400)} | {1000 + i: base for i in range(200)}
@@ -159,6 +172,20 @@ def test_index_fed_batch_by_batch_gives_the_same(spark, tmp_path):
     assert found == true_repeats(texts, batch)
 
 
+def test_index_outlives_its_session_and_takes_several_batches(spark, tmp_path):
+    texts, batch = batched(6, 100)
+    df, path = frame(spark, texts, batch_no=batch), str(tmp_path / "index")
+    first = batch_history.BatchIndex(spark, path, buckets=3)
+    assert first.add(df.filter("batch_no = 0")).count() == 0
+    for kind in ("cells", "records"):
+        spark.sql(f"DROP TABLE {first.name}_{kind}")  # what a new session doesn't know; the files stay
+    index = batch_history.BatchIndex(spark, path, buckets=7)
+    found = {r.row_id for part in ("batch_no in (1, 2)", "batch_no = 3") for r in index.add(df.filter(part)).collect()}
+    assert found == true_repeats(texts, batch) and index.buckets == 3
+    index.drop()
+    assert index.probe(df).count() == 0
+
+
 def test_repeats_of_nothing(spark):
     empty = spark.createDataFrame([], "row_id bigint, text string, batch_no bigint")
     assert batch_history.repeats_of_earlier(empty).count() == 0
