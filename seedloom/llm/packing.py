@@ -16,6 +16,10 @@ from .token_counts import TOKENIZER, token_counts
 
 #: Windows that a partition keeps open per capacity.
 OPEN_WINDOWS = 256
+#: Items of a partition, on average: contents of containers follow from the items alone, not from the session.
+PART_ITEMS = 8_192
+#: Capacities that are packed in one pass over the items; more take further passes.
+PASS = 256
 #: Partitions whose leftovers are merged by one task in a round.
 MERGE = 16
 
@@ -51,43 +55,51 @@ def _pieces(n: int, capacity: int) -> Iterator[tuple[int, int, int]]:
 def packed(sizes: DataFrame, packs: DataFrame, id_col: str, size_col: str = "n_tokens", limit: int = OPEN_WINDOWS) -> DataFrame:
     """(pack_name, container_id, id, piece_no, start_token, n_tokens): a container for every item and capacity.
 
-    ``packs``: pack_name, capacity_tokens; a handful of rows, null or non-positive capacities are ignored. Items without
-    a positive size get no container. Only an item above the capacity is split, into full pieces and one rest. Each
-    partition packs its items as they come with ``limit`` open windows; the windows still open at its end are packed
-    into each other, ``MERGE`` partitions per task and round, biggest first. Ids may repeat: every row is packed.
+    ``packs``: pack_name, capacity_tokens; null or non-positive capacities are ignored, packs of one capacity are filled
+    alike. Items without a positive size get no container. Only an item above the capacity is split, into full pieces
+    and one rest. Each partition packs its items as they come with ``limit`` open windows; the windows still open at its
+    end are packed into each other, ``MERGE`` partitions per task and round, biggest first. Ids may repeat: every row is
+    packed.
     """
     spark = sizes.sparkSession
     work = Workspace(spark, "packing")
-    capacities = [(r.pack_name, int(r.capacity_tokens)) for r in packs.filter("capacity_tokens > 0").select("pack_name", "capacity_tokens").distinct().orderBy("pack_name", "capacity_tokens").limit(1000).collect()]
+    wanted = packs.filter("capacity_tokens > 0").select("pack_name", F.col("capacity_tokens").cast("bigint").alias("capacity")).distinct()
+    # one number per distinct capacity reaches the driver
+    capacities = [r.capacity for r in wanted.select("capacity").distinct().orderBy("capacity").collect()]
     kind = dict(sizes.dtypes)[id_col]
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        packers = [Packer(c, limit) for _, c in capacities]
-        for batch in batches:
-            at, rows = [], []
-            for i, n in enumerate(batch.column(1).to_pylist()):
-                for k, (_, capacity) in enumerate(capacities):
-                    for piece, start, size in _pieces(n, capacity):
-                        at.append(i)
-                        rows.append((k, packers[k].place(size), piece, start, size))
-            pack, window, piece, start, size = zip(*rows, strict=True) if rows else ([],) * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(pack, pa.int32()), pa.array([part] * len(at), pa.int32()), *(pa.array(x, pa.int64()) for x in (window, piece, start, size))], [id_col, "pack", "part", "window", "piece_no", "start_token", "n_tokens"])
-
-    schema = f"`{id_col}` {kind}, pack int, part int, window bigint, piece_no bigint, start_token bigint, n_tokens bigint"
     items = sizes.filter(F.col(size_col) > 0).select(id_col, F.col(size_col).cast("bigint").alias("n"))
+    parts = max(1, -(-items.count() // PART_ITEMS))
     # an order that doesn't depend on the run: by id, and rows are short here
-    items = items.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col(id_col), F.col("n")).sortWithinPartitions(F.xxhash64(id_col), id_col, "n")
-    placed = work.keep(items.mapInArrow(place, schema), "placed")
-    filled = placed.groupBy("pack", "part", "window").agg(F.sum("n_tokens").alias("fill"))
-    moved = _merged(work, filled, capacities, limit)
-    names = spark.createDataFrame([(k, n) for k, (n, _) in enumerate(capacities)], "pack int, pack_name string")
-    named = placed.join(moved, ["pack", "part", "window"]).join(F.broadcast(names), "pack")  # at most 1000 packs
-    return named.select("pack_name", "container_id", id_col, "piece_no", "start_token", "n_tokens")
-
-
-def _merged(work: Workspace, filled: DataFrame, capacities: list[tuple[str, int]], limit: int) -> DataFrame:
-    """(pack, part, window, container_id): windows that aren't full go into each other, round by round.
+    items = items.repartition(parts, F.col(id_col), F.col("n")).sortWithinPartitions(F.xxhash64(id_col), id_col, "n")
+    schema = f"`{id_col}` {kind}, capacity bigint, part int, window bigint, piece_no bigint, start_token bigint, n_tokens bigint"
+
+    def placing(chosen: list[int]):
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part = TaskContext.get().partitionId()
+            packers = [Packer(c, limit) for c in chosen]
+            for batch in batches:
+                at, rows = [], []
+                for i, n in enumerate(batch.column(1).to_pylist()):
+                    for packer in packers:
+                        for piece, start, size in _pieces(n, packer.capacity):
+                            at.append(i)
+                            rows.append((packer.capacity, packer.place(size), piece, start, size))
+                capacity, window, piece, start, size = zip(*rows, strict=True) if rows else ([],) * 5
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(capacity, pa.int64()), pa.array([part] * len(at), pa.int32()), *(pa.array(x, pa.int64()) for x in (window, piece, start, size))], [id_col, "capacity", "part", "window", "piece_no", "start_token", "n_tokens"])
+
+        return place
+
+    whole = spark.createDataFrame([], f"pack_name string, container_id string, `{id_col}` {kind}, piece_no bigint, start_token bigint, n_tokens bigint")
+    for first in range(0, len(capacities), PASS):
+        placed = work.keep(items.mapInArrow(placing(capacities[first : first + PASS]), schema), "placed")
+        filled = placed.groupBy("capacity", "part", "window").agg(F.sum("n_tokens").alias("fill"))
+        named = placed.join(_merged(work, filled, limit), ["capacity", "part", "window"]).join(wanted, "capacity")
+        whole = whole.union(named.select("pack_name", "container_id", id_col, "piece_no", "start_token", "n_tokens"))
+    return whole
+
+
+def _merged(work: Workspace, filled: DataFrame, limit: int) -> DataFrame:
+    """(capacity, part, window, container_id): windows that aren't full go into each other, round by round.
 
     A round hands to one task, per capacity, the ``limit`` windows with the most room of each of ``MERGE`` partitions, to be
     packed into each other, fullest first; of the outcome again ``limit`` windows go on to the next round. So a task
@@ -95,37 +107,33 @@ def _merged(work: Workspace, filled: DataFrame, capacities: list[tuple[str, int]
     """
 
     def repack(pdf: pd.DataFrame) -> pd.DataFrame:
-        packer = Packer(capacities[int(pdf["pack"].iloc[0])][1], len(pdf) + 1)
+        packer = Packer(int(pdf["capacity"].iloc[0]), len(pdf) + 1)
         pdf = pdf.sort_values(["fill", "part", "window"], ascending=[False, True, True])
         slot = [packer.place(int(f)) for f in pdf["fill"]]
         lead = {}
         for s, p, w in zip(slot, pdf["part"], pdf["window"], strict=True):
             lead.setdefault(s, (p, w))
-        return pd.DataFrame({"pack": pdf["pack"], "part": pdf["part"], "window": pdf["window"], "fill": pdf["fill"], "to_part": [lead[s][0] for s in slot], "to_window": [lead[s][1] for s in slot]})
-
-    if not capacities:
-        return filled.select("pack", "part", "window", F.lit("").alias("container_id")).limit(0)
-    capacity = F.element_at(F.create_map(*(F.lit(x) for k, (_, c) in enumerate(capacities) for x in (k, c))), F.col("pack"))
+        return pd.DataFrame({"capacity": pdf["capacity"], "part": pdf["part"], "window": pdf["window"], "fill": pdf["fill"], "to_part": [lead[s][0] for s in slot], "to_window": [lead[s][1] for s in slot]})
 
     def loosest(windows: DataFrame, span: int) -> DataFrame:
         """Of every ``span`` partitions the ``limit`` windows with the most room."""
-        by = Window.partitionBy("pack", F.floor(F.col("part") / span).cast("int")).orderBy("fill", "part", "window")
-        return windows.filter(F.col("fill") < capacity).withColumn("at", F.row_number().over(by)).filter(F.col("at") <= limit).drop("at")
+        by = Window.partitionBy("capacity", F.floor(F.col("part") / span).cast("int")).orderBy("fill", "part", "window")
+        return windows.filter(F.col("fill") < F.col("capacity")).withColumn("at", F.row_number().over(by)).filter(F.col("at") <= limit).drop("at")
 
-    place = filled.select("pack", "part", "window", F.col("part").alias("to_part"), F.col("window").alias("to_window"))
+    place = filled.select("capacity", "part", "window", F.col("part").alias("to_part"), F.col("window").alias("to_window"))
     parts = (filled.agg(F.max("part")).first()[0] or 0) + 1
     loose, span = loosest(filled, 1), 1
     while span < parts:
         span *= MERGE
         group = F.floor(F.col("part") / span).cast("int").alias("group")
-        step = loose.select("*", group).groupBy("pack", "group").applyInPandas(repack, "pack int, part int, window bigint, fill bigint, to_part int, to_window bigint")
+        step = loose.select("*", group).groupBy("capacity", "group").applyInPandas(repack, "capacity bigint, part int, window bigint, fill bigint, to_part int, to_window bigint")
         step = work.keep(step, "merged")
-        moved = step.select("pack", F.col("part").alias("to_part"), F.col("window").alias("to_window"), F.col("to_part").alias("new_part"), F.col("to_window").alias("new_window"))
-        joined = place.join(moved, ["pack", "to_part", "to_window"], "left")
-        place = work.keep(joined.select("pack", "part", "window", F.coalesce("new_part", "to_part").alias("to_part"), F.coalesce("new_window", "to_window").alias("to_window")), "windows")
-        merged = step.groupBy("pack", F.col("to_part").alias("part"), F.col("to_window").alias("window")).agg(F.sum("fill").alias("fill"))
+        moved = step.select("capacity", F.col("part").alias("to_part"), F.col("window").alias("to_window"), F.col("to_part").alias("new_part"), F.col("to_window").alias("new_window"))
+        joined = place.join(moved, ["capacity", "to_part", "to_window"], "left")
+        place = work.keep(joined.select("capacity", "part", "window", F.coalesce("new_part", "to_part").alias("to_part"), F.coalesce("new_window", "to_window").alias("to_window")), "windows")
+        merged = step.groupBy("capacity", F.col("to_part").alias("part"), F.col("to_window").alias("window")).agg(F.sum("fill").alias("fill"))
         loose = loosest(merged, span)
-    return place.select("pack", "part", "window", F.concat_ws("-", "pack", "to_part", "to_window").alias("container_id"))
+    return place.select("capacity", "part", "window", F.concat_ws("-", "capacity", "to_part", "to_window").alias("container_id"))
 
 
 def pack_documents(documents: DataFrame, packs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections import deque
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,52 +13,111 @@ from pyspark.sql import types as T
 from .base import table
 from .draw import draw
 
-#: Cells whose counts the driver handles, at most.
-MAX_CELLS = 20_000
+#: Cells whose counts the driver handles, at most; more are refused, none is left out.
+MAX_CELLS = 200_000
 SEED = 7
 
 
 class Flow:
-    """A network with capacities and costs; ``send`` moves units at least cost, path by path."""
+    """A network with capacities and costs; ``send`` moves units at least cost, one level of cost after another."""
 
     def __init__(self) -> None:
-        self.arcs: list[list[int]] = []  # to, capacity left, cost; the reverse arc follows each
-        self.out: dict[object, list[int]] = {}
+        self.to: list[int] = []
+        self.left: list[int] = []
+        self.cost: list[int] = []  # the reverse arc follows each
+        self.out: list[list[int]] = []
+        self.nodes: dict[object, int] = {}
+
+    def node(self, name: object) -> int:
+        if name not in self.nodes:
+            self.nodes[name] = len(self.out)
+            self.out.append([])
+        return self.nodes[name]
 
     def arc(self, a: object, b: object, capacity: int, cost: int) -> int:
-        self.out.setdefault(a, []).append(len(self.arcs))
-        self.arcs.append([b, capacity, cost])
-        self.out.setdefault(b, []).append(len(self.arcs))
-        self.arcs.append([a, 0, -cost])
-        return len(self.arcs) - 2
+        for start, end, units, price in ((a, b, capacity, cost), (b, a, 0, -cost)):
+            self.out[self.node(start)].append(len(self.to))
+            self.to.append(self.node(end))
+            self.left.append(units)
+            self.cost.append(price)
+        return len(self.to) - 2
 
     def used(self, arc: int) -> int:
-        return self.arcs[arc + 1][1]
+        return self.left[arc + 1]
+
+    def _costs(self, source: int) -> list[float]:
+        """Least cost of every node from the source; label-correcting, as reverse arcs cost less than nothing."""
+        best: list[float] = [math.inf] * len(self.out)
+        best[source] = 0
+        queue, waiting = deque([source]), {source}
+        while queue:
+            node = queue.popleft()
+            waiting.discard(node)
+            for k in self.out[node]:
+                if self.left[k] and best[node] + self.cost[k] < best[self.to[k]]:
+                    best[self.to[k]] = best[node] + self.cost[k]
+                    if self.to[k] not in waiting:
+                        waiting.add(self.to[k])
+                        queue.append(self.to[k])
+        return best
 
     def send(self, source: object, sink: object, units: int) -> int:
+        """Units that reach the sink, at most ``units``. All paths of the least cost are filled at once, level by level,
+        so the work grows with the number of different path costs and not with the number of paths."""
+        first, last = self.node(source), self.node(sink)
         sent = 0
         while sent < units:
-            best, via, queue = {source: 0}, {}, [source]
-            while queue:  # label-correcting search: costs of reverse arcs are negative
-                later = []
-                for node in queue:
-                    for k in self.out.get(node, ()):
-                        to, left, cost = self.arcs[k]
-                        if left and best[node] + cost < best.get(to, math.inf):
-                            best[to], via[to] = best[node] + cost, (k, node)
-                            later.append(to)
-                queue = list(dict.fromkeys(later))
-            if sink not in via:
+            best = self._costs(first)
+            if best[last] == math.inf:
                 break
-            path, node = [], sink
-            while node != source:
-                k, node = via[node]
-                path.append(k)
-            step = min(units - sent, *(self.arcs[k][1] for k in path))
-            for k in path:
-                self.arcs[k][1] -= step
-                self.arcs[k ^ 1][1] += step
-            sent += step
+            while sent < units:
+                level = self._levels(first, best)
+                if level[last] < 0:
+                    break
+                sent += self._fill(first, last, units - sent, best, level)
+        return sent
+
+    def _tight(self, node: int, k: int, best: list[float]) -> bool:
+        return self.left[k] > 0 and best[self.to[k]] == best[node] + self.cost[k]
+
+    def _levels(self, first: int, best: list[float]) -> list[int]:
+        level = [-1] * len(self.out)
+        level[first] = 0
+        queue = deque([first])
+        while queue:
+            node = queue.popleft()
+            for k in self.out[node]:
+                if level[self.to[k]] < 0 and self._tight(node, k, best):
+                    level[self.to[k]] = level[node] + 1
+                    queue.append(self.to[k])
+        return level
+
+    def _fill(self, first: int, last: int, units: int, best: list[float], level: list[int]) -> int:
+        """A blocking flow of the arcs on least-cost paths, depth first without recursion."""
+        tried = [0] * len(self.out)
+        sent, path, node = 0, [], first
+        while sent < units:
+            if node == last:
+                step = min(units - sent, *(self.left[k] for k in path))
+                for k in path:
+                    self.left[k] -= step
+                    self.left[k ^ 1] += step
+                sent += step
+                path, node = [], first
+                continue
+            arcs = self.out[node]
+            while tried[node] < len(arcs):
+                k = arcs[tried[node]]
+                if level[self.to[k]] == level[node] + 1 and self._tight(node, k, best):
+                    path.append(k)
+                    node = self.to[k]
+                    break
+                tried[node] += 1
+            else:
+                if not path:
+                    break
+                node = self.to[path.pop() ^ 1]
+                tried[node] += 1
         return sent
 
 
@@ -72,31 +132,36 @@ def _whole(shares: list[float], total: int, seed: int) -> list[int]:
     return [b - a for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def _margins(cells: list[dict], units: list[int]) -> dict[tuple[str, object], int]:
+    """Sums of the units by row and by column category."""
+    sums: dict[tuple[str, object], int] = {}
+    for c, n in zip(cells, units, strict=True):
+        for margin in (("row", c["row"]), ("column", c["column"])):
+            sums[margin] = sums.get(margin, 0) + n
+    return sums
+
+
 def quotas(cells: list[dict], total: int, seed: int = SEED) -> tuple[list[int], list[int]]:
     """(quota, shortfall) per cell; a cell has a row and a column category, share, floor and available rows.
 
-    A cell wants its share of ``total``, and no less than its floor. In the first network rows and, at a cost, slack
-    meet each cell's demand, so the flow of slack arcs is the shortfall. In the second, ``total`` units go from the row
-    margins through the cells, by availability, to the column margins: floors first, then shares, then, at growing
-    cost, more than the share of a cell and more than a margin, so that what a cell lacks is made up for within its
-    own row or column where possible.
+    A cell wants its share of ``total``, and no less than its floor. In the first network those wants go from the row
+    margins through the cells to the column margins, over arcs of the rows available and, at a cost, over slack arcs
+    beside them, so the flow of a cell's slack arc is what it falls short of. In the second, ``total`` units take the same
+    way, by availability: floors first, then shares, then, at growing cost, more than the share of a cell and more than
+    a margin, so that what a cell lacks is made up for within its own row or column where possible.
     """
     targets = _whole([c["share"] for c in cells], total, seed)
     wanted = [max(math.ceil(round(c["share"] * total, 6)), c["floor"]) for c in cells]
     net, slack = Flow(), []
-    for i, c in enumerate(cells):
-        net.arc("rows", i, c["available"], 0)
-        slack.append(net.arc("slack", i, wanted[i], 1))
-        net.arc(i, "sink", wanted[i], 0)
-    net.arc("source", "rows", sum(wanted), 0)
-    net.arc("source", "slack", sum(wanted), 0)
+    for (kind, name), units in _margins(cells, wanted).items():
+        net.arc(*(("source", (kind, name)) if kind == "row" else ((kind, name), "sink")), units, 0)
+    for i, (c, w) in enumerate(zip(cells, wanted, strict=True)):
+        net.arc(("row", c["row"]), i, c["available"], 0)
+        slack.append(net.arc(("row", c["row"]), i, w, 1))
+        net.arc(i, ("column", c["column"]), w, 0)
     net.send("source", "sink", sum(wanted))
     net_, taken = Flow(), []
-    margins: dict[object, int] = {}
-    for c, t in zip(cells, targets, strict=True):
-        for m in (("row", c["row"]), ("column", c["column"])):
-            margins[m] = margins.get(m, 0) + t
-    for (kind, name), units in margins.items():
+    for (kind, name), units in _margins(cells, targets).items():
         ends = ("source", (kind, name)) if kind == "row" else ((kind, name), "sink")
         net_.arc(*ends, units, 0)
         net_.arc(*ends, total, 2)

@@ -1,6 +1,7 @@
 """Proportional samples, packing, mixing and exact draws."""
 
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -101,6 +102,23 @@ def test_packing_is_whole_and_tight(spark):
     assert packing.packed(df.limit(0), packs, "doc_id").count() == 0 and packing.packed(df, packs.limit(0), "doc_id").count() == 0
 
 
+def test_every_pack_is_filled_however_many(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PASS", 500)
+    items = spark.createDataFrame([(i, 3 + i) for i in range(4)], "doc_id bigint, n_tokens bigint")
+    packs = spark.createDataFrame([(f"p{i}", 10 + i // 2) for i in range(2400)], "pack_name string, capacity_tokens bigint")
+    rows = packing.packed(items, packs, "doc_id").collect()
+    assert {r.pack_name for r in rows} == {f"p{i}" for i in range(2400)} and len(rows) == 4 * 2400
+
+
+def test_many_cells_are_planned_quickly():
+    rng = random.Random(5)
+    cells = [{"row": i % 100, "column": i // 100, "share": 1 / 30_000, "floor": rng.randrange(3), "available": rng.randrange(60)} for i in range(30_000)]
+    began = time.time()
+    quota, short = proportions.quotas(cells, 600_000)
+    assert sum(quota) == 600_000 and time.time() - began < 120
+    assert all((s > 0) == (c["available"] < max(20, c["floor"])) and q <= c["available"] for c, q, s in zip(cells, quota, short, strict=True))
+
+
 def test_tokens_of_blank_and_long_texts(spark):
     df = spark.createDataFrame([(1, "Hello world", 5), (2, None, 5), (3, " \n ", 5), (4, "word " * 20_000, 5)], "doc_id bigint, text string, n_tokens int")
     got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(df, "doc_id", "text").collect()}
