@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE, clean_instruction, clean_pair_text, short_value, strip
+from .text import SPACE, clean_instruction, clean_pair_text, let, short_value, strip
 
 PAIR_FLAGS = ["sensitive_label_correct", "nonsensitive_label_correct", "matched_pair", "copied_from_support", "accept"]
 INSTANCE_FLAGS = ["label_correct", "natural", "copied_from_support", "accept"]
@@ -52,18 +52,20 @@ def json_payload(c: Column) -> Column:
 
 def field(payload: Column, name: str) -> Column:
     """A string member of a JSON object; null if it is missing or no string."""
-    value = F.try_parse_json(payload)
-    kind = F.schema_of_variant(F.try_variant_get(value, f"$.{name}", "variant"))
-    return F.when(kind == "STRING", F.try_variant_get(value, f"$.{name}", "string"))
+    member = F.try_variant_get(F.try_parse_json(payload), f"$.{name}", "variant")
+    return let(member, lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")))
 
 
 def flag(payload: Column, name: str, native: bool = False) -> Column:
     """A boolean member, unless ``native`` also as the words true and false; numbers are not booleans."""
-    value = F.try_parse_json(payload)
-    kind = F.schema_of_variant(F.try_variant_get(value, f"$.{name}", "variant"))
-    word = F.lower(strip(F.try_variant_get(value, f"$.{name}", "string")))
-    read = F.when(kind == "BOOLEAN", F.try_variant_get(value, f"$.{name}", "boolean"))
-    return read if native else read.when((kind == "STRING") & word.isin("true", "false"), word == "true")
+    member = F.try_variant_get(F.try_parse_json(payload), f"$.{name}", "variant")
+
+    def read(v: Column) -> Column:
+        kind, word = F.schema_of_variant(v), F.lower(strip(F.try_variant_get(v, "$", "string")))
+        found = F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
+        return found if native else found.when((kind == "STRING") & word.isin("true", "false"), word == "true")
+
+    return let(member, read)
 
 
 def generated_pair(payload: Column) -> Column:
@@ -71,17 +73,24 @@ def generated_pair(payload: Column) -> Column:
     value = F.try_parse_json(payload)
     alone = F.size(F.try_variant_get(value, "$", "array<variant>")) == 1
     one = F.coalesce(F.when(alone, F.to_json(F.try_variant_get(value, "$[0]", "variant"))), payload)
-    texts = [clean_pair_text(field(one, n)) for n in ("sensitive_text", "nonsensitive_text")]
-    return F.when(texts[0].isNotNull() & texts[1].isNotNull(), F.struct(texts[0].alias("sensitive_text"), texts[1].alias("nonsensitive_text")))
+
+    def texts(x: Column) -> Column:
+        return F.struct(*(clean_pair_text(field(x, n)).alias(n) for n in ("sensitive_text", "nonsensitive_text")))
+
+    return let(let(one, texts), lambda p: F.when(p["sensitive_text"].isNotNull() & p["nonsensitive_text"].isNotNull(), p))
 
 
 def pair_verdict(payload: Column) -> Column:
     """struct of the five flags and the reason; null if a flag is missing."""
-    flags = {n: flag(payload, n) for n in PAIR_FLAGS}
-    known = F.lit(True)
-    for f in flags.values():
-        known = known & f.isNotNull()
-    return F.when(known, F.struct(*(f.alias(n) for n, f in flags.items()), short_value(F.coalesce(field(payload, "reason"), F.lit(""))).alias("reason")))
+    read = F.struct(*(flag(payload, n).alias(n) for n in PAIR_FLAGS), short_value(F.coalesce(field(payload, "reason"), F.lit(""))).alias("reason"))
+
+    def whole(verdict: Column) -> Column:
+        known = F.lit(True)
+        for n in PAIR_FLAGS:
+            known = known & verdict[n].isNotNull()
+        return F.when(known, verdict)
+
+    return let(read, whole)
 
 
 def accepts_pair(verdict: Column) -> Column:

@@ -17,8 +17,11 @@ from ..functions import text as t
 
 
 def ensure_checkpoint(spark: SparkSession) -> None:
-    """Checkpoints go to the folder the session names; a temporary one is set only where none is."""
+    """Checkpoints go to the folder the session names. Where it names none, a local session gets a temporary one; on a
+    cluster that would be one machine's, so it is an error."""
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix=f"seedloom-{uuid.uuid4().hex[:6]}-"))
 
 
