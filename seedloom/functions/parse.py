@@ -114,6 +114,18 @@ def instructions(payload: Column) -> Column:
     return F.filter(F.coalesce(texts, F.array().cast("array<string>")), lambda t: t.isNotNull())
 
 
+def string_list(payload: Column, name: str) -> Column:
+    """A member as a list of strings: a list's stripped strings that aren't blank, a string as a list of one, else none."""
+    member = F.try_variant_get(F.try_parse_json(payload), f"$.{name}", "variant")
+
+    def read(v: Column) -> Column:
+        items = F.filter(F.transform(F.try_variant_get(v, "$", "array<string>"), strip), lambda x: x != "")
+        alone = F.when(F.schema_of_variant(v) == "STRING", F.array(F.try_variant_get(v, "$", "string")))
+        return F.coalesce(alone, items, F.array().cast("array<string>"))
+
+    return let(member, read)
+
+
 def rewrites(c: Column) -> Column:
     """Texts of a JSON list, of the outermost brackets if the rest is prose, else the lines without bullets and quotes."""
     whole = F.from_json(strip(c), "array<string>", {"mode": "PERMISSIVE"})
@@ -126,6 +138,24 @@ def rewrites(c: Column) -> Column:
     return F.filter(texts, lambda t: t != "")
 
 
+def parsed_rubrics(cards: Column, positive: Column, negative: Column, most: Column | int) -> Column:
+    """Of the cards of a response those with both conditions and a support of either kind from the context's ids, the
+    first of each id, ``most`` at most; supports outside the context drop out."""
+
+    def within(c: Column) -> Column:
+        sides = (F.filter(F.coalesce(c[n], F.array().cast("array<string>")), lambda x: F.array_contains(ids, x)).alias(n) for n, ids in (("support_sensitive", positive), ("support_nonsensitive", negative)))
+        return F.struct(*(c[n].alias(n) for n in ("position", "rubric_id", "sensitive_condition", "nonsensitive_condition")), *sides)
+
+    def whole(c: Column) -> Column:
+        texts = F.coalesce(F.length(c["sensitive_condition"]) > 0, F.lit(False)) & F.coalesce(F.length(c["nonsensitive_condition"]) > 0, F.lit(False))
+        return texts & (F.size(c["support_sensitive"]) > 0) & (F.size(c["support_nonsensitive"]) > 0) & (c["rubric_id"] != "")
+
+    def first(kept: Column) -> Column:
+        return F.filter(kept, lambda c: F.forall(kept, lambda o: (o["rubric_id"] != c["rubric_id"]) | (o["position"] >= c["position"])))
+
+    return F.slice(let(F.filter(F.transform(cards, within), whole), first), 1, most)
+
+
 def rubric_cards(payload: Column) -> Column:
     """Array of (position, rubric_id, sensitive_condition, nonsensitive_condition, supports) of a list of cards, or of
     the member ``rubrics`` or ``cards`` of an object. Null members count as missing."""

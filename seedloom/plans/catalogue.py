@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curation_queries, metric_queries, model_queries, sampling_queries, text_queries
+from . import audit_queries, curation_queries, metric_queries, model_queries, sampling_queries, text_queries
 
-_MODULES = (text_queries, sampling_queries, curation_queries, metric_queries, model_queries)
+_MODULES = (text_queries, sampling_queries, curation_queries, audit_queries, metric_queries, model_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
