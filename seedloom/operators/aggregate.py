@@ -8,14 +8,26 @@ from pyspark.sql import functions as F
 from .metrics import sample_stdev
 
 
+# Methods that judge, the names of the kinds of run, and the form of a summary.
+JUDGES = ["first_person_rule", "oneshot_judge", "fewshot_judge"]
+JUDGED, TRAINED = "direct_judge", "trained_classifier"
+FIELDS = ["dataset", "display_name", "method", "run_type", "seeds", "n", "accuracy_mean", "accuracy_sd", "macro_f1_mean", "macro_f1_sd"]
+HEADING = ["| Dataset | Method | Run type | n | Accuracy | Macro F1 | Seeds |", "|---|---|---|---:|---:|---:|---|"]
+SEVERAL, SINGLE, NONE = "{mean:.2f} +/- {sd:.2f}", "{mean:.2f} (n=1)", "-"
+
+
 def run_type(method: Column) -> Column:
-    return F.when(method.endswith("judge") | (method == "first_person_rule"), "direct_judge").otherwise("train_classifier")
+    return F.when(method.isin(JUDGES), JUDGED).otherwise(TRAINED)
 
 
-def grid_summary(results: DataFrame) -> DataFrame:
+def grid_summary(results: DataFrame, datasets: list[str] | None = None, methods: list[str] | None = None) -> DataFrame:
     """One row per dataset and method of ``results`` (dataset, method, seed, accuracy, macro_f1): the seeds that have an
-    accuracy, their number, and means and sample deviations in percent; cells without results have none."""
-    axes = [results.select(c).filter(f"{c} is not null").distinct() for c in ("dataset", "method")]
+    accuracy, their number, and means and sample deviations in percent; cells without results have none. ``datasets`` and
+    ``methods`` are those of the grid; without them, those that the results name."""
+    axes = [
+        results.select(c).filter(f"{c} is not null").distinct() if names is None else results.sparkSession.createDataFrame([(n,) for n in names], f"{c} string")
+        for c, names in (("dataset", datasets), ("method", methods))
+    ]
     grid = axes[0].crossJoin(axes[1])  # names of datasets and methods: a fixed small grid
     acc, f1 = F.col("accuracy") * 100, F.col("macro_f1") * 100
     seeds = F.sort_array(F.collect_list(F.when(F.col("accuracy").isNotNull(), F.struct("seed", "accuracy"))))
@@ -33,11 +45,10 @@ def markdown_lines(rows: list[dict]) -> list[str]:
     def cell(row: dict, name: str) -> str:
         mean = row[f"{name}_mean"]
         if mean is None:
-            return "-"
-        return f"{mean:.2f} +/- {row[f'{name}_sd']:.2f}" if row["n"] > 1 else f"{mean:.2f} (n=1)"
+            return NONE
+        return (SEVERAL if row["n"] > 1 else SINGLE).format(mean=mean, sd=row[f"{name}_sd"])
 
-    head = ["| Dataset | Method | Run type | n | Accuracy | Macro F1 | Seeds |", "|---|---|---|---:|---:|---:|---|"]
-    return head + [f"| {r['dataset']} | `{r['method']}` | {r['run_type']} | {r['n']} | {cell(r, 'accuracy')} | {cell(r, 'macro_f1')} | {r['seeds']} |" for r in rows]
+    return HEADING + [f"| {r.get('display_name') or r['dataset']} | `{r['method']}` | {r['run_type']} | {r['n']} | {cell(r, 'accuracy')} | {cell(r, 'macro_f1')} | {r['seeds']} |" for r in rows]
 
 
 def endpoint_load(lines: DataFrame, model: str | None) -> DataFrame:

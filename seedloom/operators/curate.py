@@ -120,13 +120,35 @@ def near_duplicate_accept(items: DataFrame, by: list[str], threshold: float = 0.
 def best_reference(items: DataFrame, references: DataFrame, by: list[str]) -> DataFrame:
     """(by.., id, best) greatest ROUGE-L F1 of each item over the references of its group; 0 without references.
 
-    ``references`` (by.., ref) are a few per group, gathered into one row each before the join.
+    ``references`` (by.., ref) are few per group: a seed pool. Whether an item is like one of many texts is for
+    ``like_known``, which doesn't pair all of them.
     """
-    few = references.groupBy(*by).agg(F.collect_list(t.tokens(F.col("ref"))).alias("refs"))
+    few = references.groupBy(*by).agg(F.collect_set(t.tokens(F.col("ref"))).alias("refs"))
     paired = items.join(few, by, "left").select(*by, "id", t.tokens(F.col("text")).alias("tokens"), F.explode_outer("refs").alias("ref"))
     return paired.groupBy(*by, "id").agg(F.coalesce(F.max(sim.rouge_l(F.col("tokens"), F.col("ref"))), F.lit(0.0)).alias("best"))
 
 
+def like_known(items: DataFrame, known: DataFrame, by: list[str], threshold: float) -> DataFrame:
+    """(by.., id) of items (by.., id, text) with ROUGE-L F1 of ``threshold`` or more to a known text (by.., ref).
+
+    Both are put into one table whose edges are found by segments, so only texts that share a stretch meet.
+    """
+    mine = items.select(*by, F.concat(F.lit("1:"), F.col("id").cast("string")).alias("id"), t.tokens(F.col("text")).alias("tokens"))
+    theirs = known.select(*by, t.tokens(F.col("ref")).alias("tokens")).distinct()
+    theirs = theirs.select(*by, F.concat(F.lit("0:"), F.md5(F.concat_ws("\x1f", "tokens").cast("binary"))).alias("id"), "tokens")
+    key = F.md5(F.concat_ws("\x1f", "tokens").cast("binary"))
+    # items of equal tokens share their edges: one stands for all, a known text before an item
+    both = mine.unionByName(theirs).filter("size(tokens) > 0").withColumn("same", key)
+    firsts = both.groupBy(*by, "same").agg(F.min("id").alias("first"))
+    placed = both.join(firsts, [*by, "same"])
+    equal = placed.filter("first like '0:%'").select(*by, "id")
+    edges = rouge_edges(both.select(*by, "id", "tokens"), by, threshold).filter("a like '0:%'").select(*by, F.col("b").alias("first"))
+    near = placed.join(edges.distinct(), [*by, "first"], "left_semi").select(*by, "id")
+    hit = equal.union(near).filter("id like '1:%'").distinct().withColumn("id", F.substring("id", 3, 1 << 20))
+    named = items.select(*by, "id", F.col("id").cast("string").alias("_id"))
+    return named.join(hit.withColumnRenamed("id", "_id"), [*by, "_id"], "left_semi").select(*by, "id")
+
+
 def first_failing(gates: list[tuple[str, Column]]) -> Column:
     """The name of the first gate whose condition, of refusal, holds; null if none does."""
     reason = F.lit(None).cast("string")

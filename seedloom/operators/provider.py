@@ -6,7 +6,7 @@ import hashlib
 import json
 import time
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -60,8 +60,9 @@ class ChatEndpoint:
             return None
 
 
-def answered(requests: DataFrame, provider: Provider, tries: int = 1, pause: float = 0.0) -> DataFrame:
-    """``requests`` (.., prompt) with ``response`` and ``attempts``; a missing response is asked for ``tries`` times.
+def answered(requests: DataFrame, provider: Provider, tries: int = 1, pause: float = 0.0, wanted: Callable[[str], bool] | None = None) -> DataFrame:
+    """``requests`` (.., prompt) with ``response`` and ``attempts``; a missing response, or one that isn't ``wanted``, is
+    asked for up to ``tries`` times, and the last one is kept.
 
     Write the result before using it twice: a plan that is run again asks again.
     """
@@ -72,7 +73,7 @@ def answered(requests: DataFrame, provider: Provider, tries: int = 1, pause: flo
             responses, attempts = [], []
             for prompt in frame["prompt"]:
                 response, n = None, 0
-                while response is None and n < tries:
+                while n < tries and (response is None or wanted is not None and not wanted(response)):
                     if n and pause:
                         time.sleep(pause)
                     response, n = provider.complete(prompt, n), n + 1
@@ -89,6 +90,17 @@ def endpoint_page(url: str) -> str:
     return url.rstrip("/").removesuffix("/v1") + "/metrics"
 
 
+def fetched_page(url: str, timeout: float = 5.0) -> list[str] | None:
+    """Lines of a page, or None if it can't be had."""
+    if not url.startswith(("http://", "https://")):
+        raise ValueError("the endpoint must be an http address")
+    try:
+        with urllib.request.urlopen(url, timeout=timeout) as answer:  # noqa: S310
+            return answer.read().decode("utf-8", "replace").splitlines()
+    except OSError:
+        return None
+
+
 def has_capacity(load: DataFrame, most_running: float = 0.0, most_waiting: float = 0.0) -> bool:
     """Is an endpoint's load (kind, load) within the limits? Without figures it counts as free."""
     limits = {"running": most_running, "waiting": most_waiting}

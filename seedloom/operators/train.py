@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
@@ -20,9 +22,26 @@ def featured(rows: DataFrame) -> DataFrame:
     return valid.withColumn("tokens", F.concat(t.tokens(F.col("text")), flag)).withColumn("y", (F.col("label") == t.LABELS[1]).cast("double"))
 
 
-def trained(rows: DataFrame, features: int = 1 << 16, iterations: int = 20) -> PipelineModel:
-    stages = [HashingTF(inputCol="tokens", outputCol="features", numFeatures=features), LogisticRegression(labelCol="y", maxIter=iterations, regParam=1e-4)]
-    return Pipeline(stages=stages).fit(featured(rows))
+def resampled(rows: DataFrame, seed: int) -> DataFrame:
+    """``rows`` with a ``weight``: how often a bootstrap sample of that seed draws a row, by its text and label alone.
+
+    The counts are those of a Poisson distribution of mean one, read from a hash, so that any engine draws alike.
+    """
+    share = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "label", "text").cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    weight, below, term = F.lit(0.0), math.exp(-1), math.exp(-1)
+    for k in range(1, 8):
+        weight = weight + (share >= below).cast("double")
+        term /= k
+        below += term
+    return rows.withColumn("weight", weight)
+
+
+def trained(rows: DataFrame, features: int = 1 << 16, iterations: int = 20, seed: int | None = None) -> PipelineModel:
+    """A classifier of the rows; with a seed, of the bootstrap sample of that seed, so that replicates differ."""
+    fitted = LogisticRegression(labelCol="y", maxIter=iterations, regParam=1e-4)
+    if seed is not None:
+        rows, fitted = resampled(rows, seed), fitted.setWeightCol("weight")
+    return Pipeline(stages=[HashingTF(inputCol="tokens", outputCol="features", numFeatures=features), fitted]).fit(featured(rows))
 
 
 def predictions(model: PipelineModel, rows: DataFrame, threshold: float | None = None) -> DataFrame:

@@ -5,16 +5,19 @@ A loop's driver holds counts per label or rubric only. Answers are checkpointed
 
 from __future__ import annotations
 
+import math
+import re
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse
 from ..functions import text as t
 from ..operators import contexts as c
 from ..operators import curate
+from ..operators.merge import upserted
 from ..operators.provider import Provider, answered, breaker_open
 from ..operators.sampling import cyclic
 
@@ -77,11 +80,14 @@ def accepted_rewrites(candidates: DataFrame, threshold: float = 0.85) -> DataFra
     """Of candidates (seed_id, seed_text, at, text) those at most ``threshold`` similar, by 3-grams, to their seed and to
     each accepted before of the same seed. A seed has about a hundred candidates, which one call sees together."""
 
+    def grams(text: str) -> set[str]:
+        squashed = re.sub(r"\s+", " ", text.lower())  # not stripped: a space at an end counts
+        return {squashed[i : i + 3] for i in range(len(squashed) - 2)}
+
     def accept(frame: pd.DataFrame) -> pd.DataFrame:
-        grams = lambda x: {x[i : i + 3] for i in range(len(x) - 2)}
-        kept, seen = [], [grams(" ".join(frame["seed_text"].iloc[0].lower().split()))]
+        kept, seen = [], [grams(frame["seed_text"].iloc[0])]
         for row in frame.sort_values("at").itertuples():
-            mine = grams(" ".join(row.text.lower().split()))
+            mine = grams(row.text)
             if all(not (mine and s) or len(mine & s) / len(mine | s) <= threshold for s in seen):
                 kept.append((row.seed_id, row.at, row.text))
                 seen.append(mine)
@@ -98,20 +104,42 @@ def padded(seeds: DataFrame, accepted: DataFrame, per_seed: int) -> DataFrame:
 
 
 def curate_rank(accepted: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
     return accepted.withColumn("n", F.row_number().over(Window.partitionBy("seed_id").orderBy("at")))
 
 
-def paraphrase(pool: DataFrame, provider: Provider, limits: Limits, per_seed: int = 4) -> DataFrame:
-    """Rewrites of every pool text, filtered against their seed and each other and padded with the seed's text."""
+def _rewritten(seeds: DataFrame, provider: Provider, batch: int, first: int, last: int) -> DataFrame:
+    """Candidates (seed_id, seed_text, at, text) of the requests ``first`` to ``last`` for each seed, in order."""
+    ask = F.concat(F.lit(f"Rewrite this sentence in {batch} ways that keep its meaning and all identifiers; answer with a JSON list of strings.\n\n"), F.col("text"), F.lit("\n#"), F.col("turn").cast("string"))
+    turns = seeds.withColumn("turn", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumn("prompt", ask)
+    answers = answered(turns, provider, 3).checkpoint()
+    each = answers.filter("response is not null").select("seed_id", F.col("text").alias("seed_text"), "turn", F.posexplode(F.slice(parse.rewrites(F.col("response")), 1, batch)).alias("p", "raw"))
+    return each.select("seed_id", "seed_text", (F.col("turn") * 1000 + F.col("p")).cast("bigint").alias("at"), t.clean_generated(F.col("raw")).alias("text")).filter("text is not null")
+
+
+def paraphrased(pool: DataFrame, provider: Provider, limits: Limits, per_seed: int = 4, batch: int = 10, factor: float = 0.5, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(rows, report): rewrites of every pool text, filtered against their seed and each other.
+
+    ``batch`` rewrites are asked for at a time, ``factor`` times as many as wanted at first, and two more batches for the
+    seeds that are short after that; what then is missing is padded with the seed's text. Rows are cut to the size in a
+    seeded order. The report tells accepted and padded rows per seed text.
+    """
     curate.ensure_checkpoint(pool.sparkSession)
     seeds = pool.select(F.concat("label", F.lit(":"), F.col("rank").cast("string")).alias("seed_id"), "text", "label")
-    prompt = F.concat(F.lit(f"Rewrite this sentence in {per_seed} ways that keep its meaning and all identifiers; answer with a JSON list of strings.\n\n"), F.col("text"))
-    answers = answered(seeds.withColumn("prompt", prompt), provider, 3).checkpoint()
-    each = answers.filter("response is not null").select("seed_id", F.col("text").alias("seed_text"), F.posexplode(parse.rewrites(F.col("response"))).alias("p", "raw"))
-    candidates = each.select("seed_id", "seed_text", F.col("p").cast("bigint").alias("at"), t.clean_generated(F.col("raw")).alias("text")).filter("text is not null")
-    return padded(seeds, accepted_rewrites(candidates), per_seed).limit(limits.size).select("text", "label")
+    rounds = max(1, math.ceil(max(batch, per_seed * factor) / batch))
+    candidates = _rewritten(seeds, provider, batch, 1, rounds)
+    done = accepted_rewrites(candidates).groupBy("seed_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= per_seed)
+    short = seeds.join(done, "seed_id", "left_anti").checkpoint()
+    candidates = candidates.unionByName(_rewritten(short, provider, batch, rounds + 1, rounds + 2)).checkpoint()
+    whole = padded(seeds, accepted_rewrites(candidates), per_seed).checkpoint()
+    report = whole.groupBy("seed_id", "label").agg(F.count_if(~F.col("padding")).alias("accepted"), F.count_if("padding").alias("padding"))
+    place = F.row_number().over(Window.partitionBy("seed_id").orderBy("text"))  # a seed's few rows
+    shuffled = whole.withColumn("place", place).withColumn("order", F.md5(F.concat_ws(":", F.lit(str(seed)), "seed_id", F.col("place").cast("string")).cast("binary")))
+    return shuffled.orderBy("order").limit(limits.size).select("text", "label"), report
+
+
+def paraphrase(pool: DataFrame, provider: Provider, limits: Limits, per_seed: int = 4) -> DataFrame:
+    """The rows of ``paraphrased``."""
+    return paraphrased(pool, provider, limits, per_seed)[0]
 
 
 def _examples(pool: DataFrame) -> DataFrame:
@@ -170,8 +198,8 @@ def instruct(pool: DataFrame, instructions: list[str], provider: Provider, limit
         refs = seeds if not out else seeds.unionByName(_union(out, spark).select(F.lit(1).alias("all"), F.col("text").alias("ref")))
         known = refs.select(t.normalise(F.col("ref")).alias("key")).distinct()
         fresh = texts.withColumn("key", t.normalise(F.col("text"))).join(known, "key", "left_anti")
-        far = curate.best_reference(fresh.select("all", "id", "text"), refs, ["all"]).filter("best < 0.95").select("id")
-        ready = fresh.join(far, "id").checkpoint()
+        like = curate.like_known(fresh.select("all", "id", "text"), refs, ["all"], 0.95)
+        ready = fresh.join(like.select("id"), "id", "left_anti").checkpoint()
         kept = ready.join(curate.near_duplicate_accept(ready.select("all", "id", "text"), ["all"], 0.95), "id").checkpoint()
         for r in kept.groupBy("label").count().collect():
             need[r["label"]] = max(0, need[r["label"]] - r["count"])
@@ -181,6 +209,36 @@ def instruct(pool: DataFrame, instructions: list[str], provider: Provider, limit
     return _union(out, spark)
 
 
+def extracted_rubrics(pool: DataFrame, provider: Provider, calls: int, per_context: int, seed: int, known: DataFrame | None = None) -> DataFrame:
+    """(rubric_id, context_index, sensitive_condition, nonsensitive_condition, support_sensitive, support_nonsensitive,
+    prompt) of the rubrics that one request per context finds; those ``known``, from an earlier run, win over new ones
+    of the same id. Ids are those of the context and the rubric's own; in order of the context and the id."""
+    curate.ensure_checkpoint(pool.sparkSession)
+    records = c.support_records(pool.withColumn("all", F.lit(1)), ["all"]).checkpoint()
+    contexts = c.rubric_contexts(records, ["all"], calls, seed)
+    lines = records.groupBy("all").agg(F.map_from_entries(F.collect_list(F.struct("support_id", "line"))).alias("lines"))  # a pool's few records
+
+    def shown(ids: str | Column) -> Column:
+        return F.array_join(F.transform(ids, lambda x: F.element_at("lines", x)), "\n")
+
+    ask = F.concat(
+        F.lit("Sensitive examples:\n"), shown("positive_ids"), F.lit("\n\nNon-sensitive examples:\n"), shown("negative_ids"),
+        F.lit(f'\n\nTell what makes the difference, as JSON {{"rubrics": [{{"rubric_id", "sensitive_condition", "nonsensitive_condition", "support_sensitive": [ids], "support_nonsensitive": [ids]}}]}}; {per_context} at most.'),
+    )
+    asked = contexts.join(F.broadcast(lines), "all").withColumn("prompt", ask)  # one row of lines
+    read = answered(asked, provider).checkpoint()
+    cards = parse.parsed_rubrics(parse.rubric_cards(parse.json_payload(F.col("response"))), F.col("positive_ids"), F.col("negative_ids"), per_context)
+    found = read.select("context_index", "context_id", F.explode(cards).alias("r")).select(F.concat_ws("_", "context_id", "r.rubric_id").alias("rubric_id"), "context_index", *(f"r.{n}" for n in RUBRIC[2:]))
+    whole = upserted(known.select(*RUBRIC), found.select(*RUBRIC), "rubric_id") if known is not None else found
+    task = F.concat(
+        F.lit("Write a pair of texts that differ in this only.\nSensitive: "), "sensitive_condition", F.lit("\nNon-sensitive: "), "nonsensitive_condition",
+        F.lit("\n\nSensitive examples:\n"), shown("support_sensitive"), F.lit("\n\nNon-sensitive examples:\n"), shown("support_nonsensitive"),
+        F.lit('\n\nAnswer with JSON {"sensitive_text": ..., "nonsensitive_text": ...}.'),
+    )
+    return whole.crossJoin(lines.select("lines")).select(*RUBRIC, task.alias("prompt")).orderBy("context_index", "rubric_id").checkpoint()  # one row of lines
+
+
+RUBRIC = ("rubric_id", "context_index", "sensitive_condition", "nonsensitive_condition", "support_sensitive", "support_nonsensitive")
 PAIRS = ("rubric_id", "pair_id", "sensitive_text", "nonsensitive_text", "reason")
 
 
@@ -275,8 +333,8 @@ def _like(judged: DataFrame, texts: DataFrame, threshold: float = 0.95) -> DataF
     """Ids of the pairs, not refused yet, of which a text is as similar as ``threshold`` to one of ``texts``."""
     mine = judged.filter("reason is null").select("pair_id", F.posexplode(F.array("sensitive_text", "nonsensitive_text")).alias("side", "text"))
     mine = mine.select("pair_id", F.lit(1).alias("all"), F.xxhash64("pair_id", "side").alias("id"), "text")
-    best = curate.best_reference(mine.select("all", "id", "text"), texts.select(F.lit(1).alias("all"), F.col("text").alias("ref")), ["all"])
-    return mine.join(best.filter(F.col("best") >= threshold).select("id"), "id").select("pair_id").distinct()
+    like = curate.like_known(mine.select("all", "id", "text"), texts.select(F.lit(1).alias("all"), F.col("text").alias("ref")), ["all"], threshold)
+    return mine.join(like.select("id"), "id").select("pair_id").distinct()
 
 
 def _verified_pairs(judged: DataFrame, verifier: Provider) -> DataFrame:
@@ -298,17 +356,39 @@ def _pair_independent(texts: DataFrame, threshold: float = 0.95) -> DataFrame:
     owners = items.select("id", "pair_id", F.md5(F.concat_ws("\x1f", "tokens").cast("binary")).alias("same"))
     edges = curate.rouge_edges(items.select("all", "id", "tokens"), ["all"], threshold)
     near = edges.join(owners.select(F.col("id").alias("a"), F.col("pair_id").alias("pa")), "a").join(owners.select(F.col("id").alias("b"), F.col("pair_id").alias("pb")), "b")
+    # few: what is equal after normalising was refused before, these differ in white space between tokens only
     equal = owners.alias("x").join(owners.alias("y"), "same").select(F.col("x.pair_id").alias("pa"), F.col("y.pair_id").alias("pb"))
     both = near.select("pa", "pb").union(equal).filter("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
     return curate.greedy_accept(items.select("pair_id").distinct(), both, "pair_id")
 
 
-def judged_by(rows: DataFrame, examples: DataFrame, provider: Provider, tries: int = 3) -> DataFrame:
-    """Judge predictions of rows (row_id, text, label): prompt with examples, strict label or a failed parse."""
-    lines = examples.agg(c.joined_lines(F.concat(F.lit("<<<"), "text", F.lit(">>>: "), "label"), F.struct("label", "rank")).alias("examples"))
-    prompts = rows.crossJoin(lines).withColumn("prompt", c.judge_prompt(F.col("examples"), F.col("text"))).drop("examples")  # one row of examples
-    read = answered(prompts, provider, tries).withColumn("pred_label", F.coalesce(t.strict_label(F.col("response")), F.lit(t.PARSE_FAILED)))
-    return read.select("row_id", "text", F.col("label").alias("true_label"), "pred_label", (F.col("label") == F.col("pred_label")).alias("correct"), (F.col("pred_label") == t.PARSE_FAILED).alias("parse_failed"), F.col("response").alias("raw_response"), "attempts")
+def drawn_examples(pool: DataFrame, rows: DataFrame, per_label: int, seed: int, key: str = "row_id") -> DataFrame:
+    """``rows`` with ``support``, ``per_label`` examples of each label drawn anew for every row: an array of (text, label),
+    Non-sensitive first, in the order drawn. A pool without one of the labels is an error."""
+    every = pool.agg(*(F.collect_list(F.when(F.col("label") == x, F.struct("rank", "text", "label"))).alias(f"_{i}") for i, x in enumerate(t.LABELS)))
+    both = rows.crossJoin(every)  # one row, of a pool of a few examples per label
+
+    def some(i: int) -> Column:
+        keyed = F.transform(f"_{i}", lambda e: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), e["label"], e["rank"].cast("string")).cast("binary")).alias("o"), e["text"].alias("text"), e["label"].alias("label")))
+        taken = F.transform(F.slice(F.array_sort(keyed), 1, per_label), lambda e: F.struct(e["text"].alias("text"), e["label"].alias("label")))
+        missing = F.raise_error(F.lit(f"no {t.LABELS[i]} examples")).cast("array<struct<text: string, label: string>>")
+        return F.when(F.size(f"_{i}") > 0, taken).otherwise(missing)
+
+    return both.select(*rows.columns, F.concat(some(0), some(1)).alias("support"))
+
+
+def is_label(response: str) -> bool:
+    return response.strip() in t.LABELS
+
+
+def judged_by(rows: DataFrame, examples: DataFrame, provider: Provider, tries: int = 3, per_label: int = 5, seed: int = 42) -> DataFrame:
+    """Judge predictions of rows (row_id, text, label): a prompt with examples drawn for the row, asked again until the
+    response is a label and nothing else, ``tries`` times at most; else a failed parse."""
+    line = lambda e: F.concat(F.lit("<<<"), e["text"], F.lit(">>>: "), e["label"])
+    shown = F.array_join(F.transform("support", line), "\n")
+    prompts = drawn_examples(examples, rows, per_label, seed).withColumn("prompt", c.judge_prompt(shown, F.col("text")))
+    read = answered(prompts, provider, tries, wanted=is_label).withColumn("pred_label", F.coalesce(t.strict_label(F.col("response")), F.lit(t.PARSE_FAILED)))
+    return read.select("row_id", "text", F.col("label").alias("true_label"), "pred_label", (F.col("label") == F.col("pred_label")).alias("correct"), (F.col("pred_label") == t.PARSE_FAILED).alias("parse_failed"), F.col("response").alias("raw_response"), "attempts", "support", "prompt")
 
 
 #: Custom methods by name: callables of (pool, provider, limits).

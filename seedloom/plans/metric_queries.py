@@ -203,7 +203,7 @@ SQL = {
     "aggregate_summary": """
     WITH r AS (SELECT DISTINCT dataset, method, seed, accuracy * 100 AS a, macro_f1 * 100 AS f FROM run_results),
     g AS (SELECT * FROM (SELECT DISTINCT dataset FROM r WHERE dataset IS NOT NULL), (SELECT DISTINCT method FROM r WHERE method IS NOT NULL))
-    SELECT g.dataset, g.method, CASE WHEN g.method LIKE '%judge' OR g.method = 'first_person_rule' THEN 'direct_judge' ELSE 'train_classifier' END AS run_type,
+    SELECT g.dataset, g.method, CASE WHEN g.method IN ('first_person_rule', 'oneshot_judge', 'fewshot_judge') THEN 'direct_judge' ELSE 'trained_classifier' END AS run_type,
       coalesce(string_agg(CASE WHEN a IS NOT NULL THEN seed::VARCHAR END, ' ' ORDER BY seed, a), '') AS seeds, count(a) AS n,
       round(avg(a), 6) AS accuracy_mean, round(CASE WHEN count(a) = 1 THEN 0 ELSE stddev_samp(a) END, 6) AS accuracy_sd,
       round(avg(f), 6) AS macro_f1_mean, round(CASE WHEN count(f) = 1 THEN 0 ELSE stddev_samp(f) END, 6) AS macro_f1_sd

@@ -6,11 +6,12 @@ import json
 import os
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import LABELS, strip
-from ..operators.aggregate import markdown_lines
+from ..operators.aggregate import FIELDS, markdown_lines
+from . import files
 
 EXAMPLE = "text string, label string"
 
@@ -21,15 +22,19 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: str = EXAMPLE
 
 
 def read_physical_lines(spark: SparkSession, path: str, schema: str = EXAMPLE) -> DataFrame:
-    """(line_no, row, broken) of one file with the numbers of its physical lines, blank ones left out.
+    """(file, line_no, row, broken) of files with the numbers of their physical lines, blank ones left out.
 
-    Line numbers need the lines in order, which a text file read as one split has; files are therefore read whole, one
-    row per file, and split into lines inside the JVM.
+    A file is read in splits, in the order of which its lines come; each split's lines are counted, and numbered from the
+    count of the splits before it. So a file may be of any size.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r\n|\n")).alias("at", "line"))
-    lines = whole.filter(strip(F.col("line")) != "")
-    row = F.from_json("line", schema, {"mode": "PERMISSIVE"})
-    return lines.select("file", (F.col("at") + 1).alias("line_no"), row.alias("row"), F.try_parse_json("line").isNull().alias("broken"))
+    file, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    placed = spark.read.text(path).select("value", file.alias("file"), start.alias("start"), F.monotonically_increasing_id().alias("at"))
+    first = placed.groupBy("file", "start").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    below = first.withColumn("below", F.sum("n").over(Window.partitionBy("file").orderBy("start")) - F.col("n"))  # a row a split
+    numbered = placed.join(below, ["file", "start"]).withColumn("line_no", (F.col("below") + F.col("at") - F.col("first") + 1).cast("int"))
+    lines = numbered.filter(strip(F.col("value")) != "")
+    row = F.from_json("value", schema, {"mode": "PERMISSIVE"})
+    return lines.select("file", "line_no", row.alias("row"), F.try_parse_json("value").isNull().alias("broken"))
 
 
 def violations(rows: DataFrame) -> DataFrame:
@@ -66,7 +71,7 @@ def load_pool(spark: SparkSession, folder: str) -> DataFrame:
 
 def count_lines(spark: SparkSession, path: str) -> int:
     """Lines that aren't blank; 0 if there is no such file."""
-    if not Path(path).exists():
+    if not files.exists(spark, path):
         return 0
     return spark.read.text(path).filter(strip(F.col("value")) != "").count()
 
@@ -113,18 +118,28 @@ def selected(value: str, allowed: list[str], default: list[str]) -> list[str]:
 
 
 def run_results(spark: SparkSession, root: str) -> DataFrame:
-    """(dataset, method, seed, accuracy, macro_f1) of all metrics documents in the run layout."""
+    """(dataset, method, seed, accuracy, macro_f1) of all metrics documents in the run layout, in a run's folder or its
+    ``results``; none without such documents."""
     shape = "best struct<in_test_acc: double, in_test_f1: double>"
-    rows = spark.read.schema(shape).option("multiLine", True).json(f"{root}/*/*/seed_*/metrics.json").select("best", F.split(F.input_file_name(), "/").alias("p"))
-    part = lambda i: F.element_at("p", i)
-    return rows.select(part(-4).alias("dataset"), part(-3).alias("method"), F.regexp_extract(part(-2), r"seed_(\d+)", 1).cast("bigint").alias("seed"), F.col("best.in_test_acc").alias("accuracy"), F.col("best.in_test_f1").alias("macro_f1"))
-
-
-def write_summary(summary: DataFrame, folder: str) -> None:
-    """summary.csv, summary.json and summary.md of a grid summary, which has a row per dataset and method."""
+    places = [f"{root}/*/*/seed_*/{inner}metrics.json" for inner in ("", "results/")]
+    there = [p for p in places if files.matches(spark, p)]
+    if not there:
+        return spark.createDataFrame([], "dataset string, method string, seed bigint, accuracy double, macro_f1 double")
+    path = r"/([^/]+)/([^/]+)/seed_(\d+)/(?:results/)?metrics\.json$"
+    rows = spark.read.schema(shape).option("multiLine", True).json(there).select("best", F.input_file_name().alias("p"))
+    part = lambda i: F.regexp_extract("p", path, i)
+    return rows.select(part(1).alias("dataset"), part(2).alias("method"), part(3).cast("bigint").alias("seed"), F.col("best.in_test_acc").alias("accuracy"), F.col("best.in_test_f1").alias("macro_f1"))
+
+
+def write_summary(summary: DataFrame, folder: str, names: dict[str, str] | None = None, datasets: list[str] | None = None, methods: list[str] | None = None) -> None:
+    """summary.csv, summary.json and summary.md of a grid summary, which has a row per dataset and method, in the order of
+    the lists, else by name. ``names``: what datasets are shown as."""
     base = Path(folder)
     base.mkdir(parents=True, exist_ok=True)
-    frame = summary.orderBy("dataset", "method").toPandas()
+    frame = summary.toPandas()
+    frame["display_name"] = [(names or {}).get(x, x) for x in frame["dataset"]]
+    place = {c: {x: i for i, x in enumerate(given or sorted(set(frame[c])))} for c, given in (("dataset", datasets), ("method", methods))}
+    frame = frame.sort_values(["dataset", "method"], key=lambda c: c.map(place[c.name]))[FIELDS]
     frame.to_csv(base / "summary.csv", index=False)
     rows = frame.astype(object).where(frame.notna(), None).to_dict("records")
     write_document(base / "summary.json", rows)

@@ -1,15 +1,17 @@
 """Sampling, metrics, acceptance, loops, sources and streams against brute force and hand-made cases."""
 
 import hashlib
+import json
 import random
 import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
-from seedloom.operators import aggregate, contexts, curate, draw, metrics, provider, sampling
+from seedloom.functions.similarity import lcs
+from seedloom.operators import aggregate, contexts, curate, draw, merge, metrics, provider, sampling, train
 from seedloom.plans import methods, pipeline
-from seedloom.sources import jsonl
+from seedloom.sources import config, files, jsonl
 from seedloom.streaming.curate import accept_stream
 from test_functions import plain_lcs
 
@@ -311,3 +313,158 @@ def test_stream_accepts_each_text_once(spark, tmp_path):
         stream = spark.readStream.schema("id bigint, text string, label string").parquet(source)
         accept_stream(stream, target, str(tmp_path / "state")).awaitTermination(120)
         assert {r.id for r in spark.read.parquet(target).collect()} == ({1, 2} if k == 0 else {1, 2, 5})
+
+
+def test_sides_are_zipped_and_merged(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b")], "at bigint, x string")
+    right = spark.createDataFrame([(2, "q"), (1, "p")], "at bigint, y string")
+    assert {(r.at, r.x, r.y) for r in merge.zipped(left, right, "at").collect()} == {(1, "a", "p"), (2, "b", "q")}
+    with pytest.raises(Exception, match="only one side has place"):
+        merge.zipped(left, right.filter("at = 1"), "at").collect()
+    with pytest.raises(ValueError, match="several rows"):
+        merge.zipped(left.union(left), right, "at")
+    new = spark.createDataFrame([(1, "new"), (3, "c")], "at bigint, x string")
+    assert {(r.at, r.x) for r in merge.upserted(left, new, "at").collect()} == {(1, "a"), (2, "b"), (3, "c")}
+
+
+def test_numbers_run_over_spans(spark, monkeypatch):
+    monkeypatch.setattr(merge, "SPAN", 10)
+    rows = spark.range(95).select("id", (F.col("id") % 3).alias("g"))
+    got = {(r.g, r.id): r.number for r in merge.running_numbers(rows, ["g"], "id", 5).collect()}
+    assert all(n == i // 3 + 5 for (_, i), n in got.items()) and len(got) == 95
+
+
+def test_settings_have_defaults_for_every_key(tmp_path):
+    (tmp_path / "c.json").write_text('{"seeds": [7], "generation": {"n_samples": 3}, "seed_pool": null, "datasets": {"d": {"display_name": "D"}, "e": null}, "methods": {"train": ["official_train"]}, "custom_methods": {"m": "x:y"}}')
+    got = config.load_config(tmp_path / "c.json")
+    assert got.seeds == [7] and got.of("generation", "n_samples") == 3 and got.of("generation", "attempt_cap") == 20000
+    assert got.of("seed_pool", "per_label") == 10 and got.of("methods", "direct_judge") == [] and got.methods == ["official_train", "m"]
+    assert (got.datasets["d"].display_name, got.datasets["e"].display_name) == ("D", "e")
+    assert got.datasets["d"].split("train") == str(tmp_path / "data/d/train.jsonl")
+    with pytest.raises(ValueError, match="mapping"):
+        config.with_defaults([1])
+
+
+def test_label_maps_and_incomplete_runs(tmp_path):
+    assert config.label_map(None) == {"Non-sensitive": 0, "Sensitive": 1} == config.label_map(tmp_path / "none.json")
+    (tmp_path / "m.json").write_text('{"Sensitive": 5}')
+    (tmp_path / "l.json").write_text("[1]")
+    assert config.label_map(tmp_path / "m.json") == {"Sensitive": 5}
+    with pytest.raises(ValueError, match="no mapping"):
+        config.label_map(tmp_path / "l.json")
+    assert config.allows_incomplete("x_100x", {"generation_status": "incomplete_card_budget"}) and not config.allows_incomplete("x", {"generation_status": "incomplete_card_budget"})
+    assert not config.allows_incomplete("x_100x", {"allow_incomplete_training_data": False, "generation_status": "incomplete_card_budget"})
+    assert config.seeds_of("first_person_rule", [1, 2]) == [0] and config.seeds_of("fewshot", [1, 2]) == [1, 2]
+
+
+def test_release_walk_and_removal(spark, tmp_path):
+    for name, text in (("a/b.py", "x = 1\nmail me@host.org\n"), ("data/c.py", "me@host.org"), (".gitignore", "/home/ann\n"), ("a/d.bin", "me@host.org"), ("a/.venv/e.py", "me@host.org"), ("a/f.txt", "fine\n")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    lines = files.release_files(spark, str(tmp_path))
+    assert {r.path for r in lines.select("path").collect()} == {"a/b.py", ".gitignore", "a/f.txt"}
+    hits = {(r.path, r.line_no, r.pattern, r.match) for r in files.findings(lines, [("mail", r"\w+@\w+\.org"), ("home", r"/home/\w+")]).collect()}
+    assert hits == {("a/b.py", 2, "mail", "me@host.org"), (".gitignore", 1, "home", "/home/ann")}
+    assert files.release_scan(spark, str(tmp_path), [("mail", r"\w+@\w+\.org")]) == 1 and files.release_scan(spark, str(tmp_path), [("none", "zzz")]) == 0
+    (tmp_path / "model").mkdir()
+    for name in ("w.safetensors", "vocab.json", "metrics.json"):
+        (tmp_path / "model" / name).write_text("{}")
+    assert files.remove_model_files(spark, str(tmp_path / "model")) == 2 and [p.name for p in (tmp_path / "model").iterdir() if p.suffix != ".crc"] == ["metrics.json"]
+    files.copy(spark, str(tmp_path / "a/f.txt"), str(tmp_path / "a/g.txt"))
+    files.copy(spark, str(tmp_path / "a/g.txt"), str(tmp_path / "a/g.txt"))
+    assert (tmp_path / "a/g.txt").read_text() == "fine\n"
+    files.remove(spark, str(tmp_path / "a"))
+    files.remove(spark, str(tmp_path / "a"))
+    assert not (tmp_path / "a").exists()
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    (tmp_path / "big.jsonl").write_text("".join(f'{{"text": "{"x" * 90} {i}", "label": "Sensitive"}}\n' + ("\n" if i % 7 == 0 else "") for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = jsonl.read_physical_lines(spark, str(tmp_path / "big.jsonl"))
+        assert rows.rdd.getNumPartitions() > 1
+        got = {int(r.row.text.split()[-1]): r.line_no for r in rows.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {i: i + 1 + -(-i // 7) for i in range(3000)}
+
+
+def test_judges_draw_examples_for_every_row_and_ask_until_a_label_comes(spark):
+    pool = spark.createDataFrame(POOL, "label string, rank int, text string")
+    rows = spark.createDataFrame([(i, f"text {i}", "Sensitive") for i in range(30)], "row_id bigint, text string, label string")
+    drawn = methods.drawn_examples(pool, rows, 1, 42).collect()
+    assert all([e.label for e in r.support] == ["Non-sensitive", "Sensitive"] for r in drawn) and len({tuple(r.support) for r in drawn}) > 1
+    out = methods.judged_by(rows, pool, provider.Stub((" Sensitive\n", "Label: Sensitive"), broken=0), tries=2).collect()
+    assert all(r.attempts == 2 for r in out if r.parse_failed) and {1, 2} == {r.attempts for r in out if not r.parse_failed}
+    with pytest.raises(Exception, match="no Sensitive examples"):
+        methods.drawn_examples(pool.filter("label = 'Non-sensitive'"), rows, 1, 42).collect()
+
+
+def test_like_known_equals_brute_force(spark):
+    rng = random.Random(3)
+    words = "one two three four five six seven eight nine ten".split()
+    known = [" ".join(rng.choices(words, k=20)) for _ in range(15)]
+    items = {i: " ".join(w if rng.random() > 0.04 else "zero" for w in rng.choice(known).split()) for i in range(40)} | {99: known[0], 98: known[0]}
+    f1 = lambda a, b: 2 * lcs(a.split(), b.split()) / (len(a.split()) + len(b.split()))
+    want = {i for i, x in items.items() if any(f1(x, k) >= 0.95 for k in known)}
+    df = spark.createDataFrame([(1, i, x) for i, x in items.items()], "all int, id bigint, text string")
+    refs = spark.createDataFrame([(1, k) for k in known], "all int, ref string")
+    got = {r.id for r in curate.like_known(df, refs, ["all"], 0.95).collect()}
+    assert got == want and 1 < len(want) < len(items)
+
+
+def test_replicates_differ_and_repeat(spark):
+    rows = spark.createDataFrame([(f"text {i}", "Sensitive") for i in range(2000)], "text string, label string")
+    one, two, again = ([r.weight for r in train.resampled(rows, s).orderBy("text").collect()] for s in (1, 2, 1))
+    assert one == again != two and 0.9 < sum(one) / 2000 < 1.1 and max(one) >= 4
+
+
+RUBRICS = provider.Stub(('{{"rubrics": [{{"rubric_id": "A", "sensitive_condition": "names {0}", "nonsensitive_condition": "names none", "support_sensitive": ["S1", "S2", "S3"], "support_nonsensitive": ["N1", "N2", "N3"]}}, {{"rubric_id": "A", "sensitive_condition": "again", "nonsensitive_condition": "no", "support_sensitive": ["S1"], "support_nonsensitive": ["N1"]}}]}}',), broken=0)
+
+
+def test_rubrics_are_extracted_per_context_and_merged(spark):
+    pool = spark.createDataFrame([(x, i, f"{x} text {i}") for x in ("Sensitive", "Non-sensitive") for i in range(1, 5)], "label string, rank int, text string")
+    got = methods.extracted_rubrics(pool, RUBRICS, 5, 3, 42).collect()
+    assert [r.rubric_id for r in got] == [f"R{i:03d}_A" for i in range(1, 6)] and all(2 <= len(r.support_sensitive) <= 3 for r in got)
+    assert all("Sensitive text 1" in r.prompt or "S1" not in r.support_sensitive for r in got)
+    known = spark.createDataFrame([got[1]]).withColumn("sensitive_condition", F.lit("kept"))
+    again = methods.extracted_rubrics(pool, RUBRICS, 5, 3, 42, known).collect()
+    assert [r.sensitive_condition == "kept" for r in again] == [False, True, False, False, False]
+
+
+def test_paraphrases_report_their_padding(spark):
+    pool = spark.createDataFrame(POOL, "label string, rank int, text string")
+    stub = provider.Stub(('["The {0} {1} stood by the {2} all day long {n}.", "A {3} and a {4} were seen near {5} at {n}."]',), broken=0)
+    rows, report = methods.paraphrased(pool, stub, methods.Limits(size=len(POOL) * 3), 3)
+    per = report.collect()
+    assert rows.count() == len(POOL) * 3 and all(r.accepted + r.padding == 3 for r in per) and sum(r.accepted for r in per) > len(POOL)
+    none, report = methods.paraphrased(pool, provider.Stub(("",), broken=0), methods.Limits(size=4), 2)
+    assert none.count() == 4 and all((r.accepted, r.padding) == (0, 2) for r in report.collect())
+
+
+def test_all_stages_of_a_grid(spark, tmp_path):
+    for name, n in (("train", 40), ("valid", 20), ("test", 20)):
+        place = tmp_path / "data/d" / f"{name}.jsonl"
+        place.parent.mkdir(parents=True, exist_ok=True)
+        place.write_text("\n".join(f'{{"text": "{"my secret" if i % 2 else "the weather"} {i} {name}", "label": "{"Sensitive" if i % 2 else "Non-sensitive"}"}}' for i in range(n)) + "\n")
+    (tmp_path / "c.json").write_text('{"seeds": [1, 2], "seed_pool": {"per_label": 2}, "methods": {"train": ["official_train", "duplicate", "oneshot"], "direct_judge": ["first_person_rule", "oneshot_judge"]}, "generation": {"n_samples": 8}, "trainer": {"eval_valid_size": 10}, "datasets": {"d": {"display_name": "Data"}}}')
+    settings = config.load_config(tmp_path / "c.json")
+    stub = provider.Stub(("My {0} {1} was left near the {2} on day {n}.>>>", "Sensitive"), broken=0)
+    planned = pipeline.run_stages(spark, settings, "all", provider=stub, dry_run=True)
+    assert planned[0] == "prepare d" and "generate d oneshot 2" in planned and not (tmp_path / "outputs").exists()
+    done = pipeline.run_stages(spark, settings, "all", chosen="official_train,duplicate,first_person_rule,oneshot_judge", provider=stub, at_once=3)
+    assert done[-1] == "aggregate" and "direct_judge d first_person_rule 0" in done
+    summary = json.loads((tmp_path / "outputs/runs/summary.json").read_text())
+    assert [(r["method"], r["n"], r["run_type"], r["display_name"]) for r in summary] == [
+        ("official_train", 2, "trained_classifier", "Data"), ("duplicate", 2, "trained_classifier", "Data"), ("first_person_rule", 1, "direct_judge", "Data"), ("oneshot_judge", 2, "direct_judge", "Data")]
+    assert pipeline.run_stages(spark, settings, "generate", chosen="oneshot", seeds=[1], provider=stub) == ["generate d oneshot 1"]
+    folder = tmp_path / "outputs/runs/d/oneshot/seed_1"
+    assert jsonl.count_lines(spark, f"{folder}/train.jsonl") == 8 and json.loads((folder / "generation_meta.json").read_text())["num_written"] == 8
+    assert json.loads((tmp_path / "outputs/runs/d/official_train/seed_1/results/adv_results.json").read_text())["config"]["train_data"].endswith("data/d/train.jsonl")
+    with pytest.raises(FileNotFoundError, match="no rows to train on"):
+        pipeline.run_stages(spark, settings, "train_eval", chosen="oneshot", seeds=[2])
+    with pytest.raises(ValueError, match="unknown"):
+        pipeline.run_stages(spark, settings, "all", chosen="none")
+    with pytest.raises(ValueError, match="no test accuracy"):
+        pipeline.run_stages(spark, settings, "eval", chosen="oneshot", seeds=[1])
