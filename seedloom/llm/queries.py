@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import batch_history, cross_split, mixing, mojibake, near_groups, packing, personal_info, proportions
+from . import batch_history, cross_split, mixing, mojibake, near_groups, packing, personal_info, proportions, similar_sql
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -30,4 +30,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": proportions.P4_FOUND_SQL}
+    return {
+        "p3_found": similar_sql.P3_FOUND_SQL,
+        "p3_overlap_report": similar_sql.P3_OVERLAP_REPORT_SQL,
+        "p4_found": proportions.P4_FOUND_SQL,
+    }
