@@ -1,4 +1,4 @@
-"""Every query with SQL agrees with it on the smallest tables; the others run."""
+"""Every core query with SQL agrees with it on the smallest tables; the others are held against what is known of them."""
 
 import os
 
@@ -6,9 +6,12 @@ import pytest
 
 import __spark_entry__ as entry
 from differential import connect, differences
+from seedloom.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
+#: Queries whose models and loops SQL can't express; each has a test of its own below.
+WITHOUT_SQL = {"train_classifier_metrics", "stub_generation_run"}
 
 
 @pytest.fixture(scope="module")
@@ -18,13 +21,16 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, con, name):
-    df = QUERIES[name](spark, SF)
-    if name in SQL:
-        assert differences(df, con, SQL[name]) == []
-    else:
-        assert df.count() >= 0
+    assert differences(QUERIES[name](spark, SF), con, SQL[name]) == []
+
+
+def test_classifier_judges_every_test_row_better_than_chance(spark, con):
+    rows = {r.dataset: r for r in QUERIES["train_classifier_metrics"](spark, SF).collect()}
+    wanted = dict(con.execute("SELECT dataset, count(*) FROM test WHERE label IN ('Sensitive', 'Non-sensitive') AND text IS NOT NULL GROUP BY dataset").fetchall())
+    assert {d: r.n_eval for d, r in rows.items()} == wanted
+    assert sum(r.accuracy * r.n_eval for r in rows.values()) / sum(wanted.values()) > 0.5
 
 
 def test_flagship(spark):
@@ -33,7 +39,7 @@ def test_flagship(spark):
 
 
 def test_every_sql_has_its_query():
-    assert set(SQL) <= set(QUERIES)
+    assert set(SQL) == set(QUERIES) - WITHOUT_SQL and set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 def test_generation_runs_cover_every_dataset_and_seed(spark, con):
