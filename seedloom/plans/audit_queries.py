@@ -13,7 +13,7 @@ from ..sources.tables import read
 from . import sql as s
 from .curation_queries import _CARD, _INCOMPLETE, _PAIR_ROWS, CONTRASTIVE, INSTRUCT, _clean, _norm, _pairs
 
-#: Prompts whose runs may be resumed.
+# Prompts whose runs may be resumed, as the rows name them.
 PROMPTS = {CONTRASTIVE: "pair_v3", INSTRUCT: "inst_v2"}
 #: Reasons of a verdict that count as refusal, and as no verdict, where none but the reason is kept.
 REFUSING, UNREADABLE = "accepted after a second look", "no copy of the seeds"

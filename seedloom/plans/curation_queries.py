@@ -13,6 +13,7 @@ from ..operators.sampling import seed_pool
 from ..sources.tables import read
 from . import sql as s
 
+# Methods as the rows name them.
 CONTRASTIVE = "rubric_guided_contrastive_synthesis"
 INSTRUCT = "self_instruct_faithful_neutral"
 

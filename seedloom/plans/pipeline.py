@@ -31,6 +31,8 @@ from . import methods
 
 STAGES = ("prepare", "generate", "train_eval", "direct_judge", "eval", "aggregate", "all")
 LABELS = t.LABELS
+# What a document about generation calls a run that has all its rows, and one that ran out of attempts.
+COMPLETE, SHORT = "complete", "incomplete_rubric_budget"
 INSTRUCTIONS = [
     "Decide whether the text tells where its writer lives.",
     "Decide whether the text names a person together with a health matter.",
@@ -123,7 +125,7 @@ def _contrastive(run: Run, pool: DataFrame, limits: methods.Limits) -> tuple[Dat
     rows = pairs.filter("reason is null").select(F.explode(F.array(F.struct(F.col("sensitive_text").alias("text"), F.lit(LABELS[1]).alias("label")), F.struct(F.col("nonsensitive_text").alias("text"), F.lit(LABELS[0]).alias("label")))).alias("x")).select("x.*")
     rate = 2 * counts.get("accepted_pairs", 0) / max(1, limits.size)
     enough = rate >= settings.get("min_completion_rate", 0.95)
-    status = "complete" if rate >= 1 else "incomplete_rubric_budget"
+    status = COMPLETE if rate >= 1 else SHORT
     return rows, {"stats": counts, "completion_rate": rate, "generation_status": status, "allow_incomplete_training_data": enough}
 
 
@@ -257,7 +259,7 @@ def judge(run: Run) -> dict | None:
     else:
         k = 1 if run.method == "oneshot_judge" else 5
         tries = 1 + run.config.of("direct_judge", "max_retries")
-        about |= {"k_per_label": k, "max_retries": tries - 1, "parse_policy": "strict_exact_label_only_no_fallback", "seed_pool": run.of.pool(run.seed, run.config.of("seed_pool", "per_label"))}
+        about |= {"k_per_label": k, "max_retries": tries - 1, "seed_pool": run.of.pool(run.seed, run.config.of("seed_pool", "per_label"))}
         out = methods.judged_by(rows, run.pool(), run.provider, tries, k, run.seed).drop("row_id").checkpoint()
     row = m.judged(out.withColumn("all", F.lit(1)), ["all"]).first()
     best = {"in_test_acc": row.accuracy, "in_test_f1": row.macro_f1, "parse_failed": row.parse_failed, "n_eval": row.n_eval}

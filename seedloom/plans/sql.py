@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions.text import LINE_END, SPACE, WORD
 
+# The patterns of ``functions.text`` in the form of the other engine.
 LABEL_PREFIX = f"(?i)^[{SPACE}]*(?:Sensitive|Non-sensitive)[{SPACE}]*:[{SPACE}]*"
 MARKER_PREFIX = f"(?i)^[{SPACE}]*(?:(?:Sensitive|Non-sensitive)[{SPACE}]*:[{SPACE}]*|:[{SPACE}]*)?<<<[{SPACE}]*"
 ARTIFACT = f"(?i)(<<<|>>>|^[{SPACE}]*(Sensitive|Non-sensitive)[{SPACE}]*:|Classify one PII-detection text|Respond with exactly one label)"

@@ -14,6 +14,7 @@ from ..functions.text import LABELS
 JUDGE_METHODS = ["first_person_rule", "oneshot_judge", "fewshot_judge"]
 GENERATED_METHODS = ["duplicate", "oneshot", "fewshot", "paraphrase"]
 SEEDLESS = {"first_person_rule": 0}
+LARGE_RUN, OLD_STATUS = "_100x", "incomplete_card_budget"
 DEFAULTS: dict[str, Any] = {
     "seeds": [42, 123, 456],
     "paths": {"dataset_dir": "data", "seed_pool_dir": "outputs/seed_pools", "output_root": "outputs/runs"},
@@ -118,4 +119,4 @@ def allows_incomplete(method: str, meta: Mapping[str, Any]) -> bool:
     """May a run with fewer rows than asked for be used? Its own word counts, else the older mark of large runs."""
     if "allow_incomplete_training_data" in meta:
         return bool(meta["allow_incomplete_training_data"])
-    return method.endswith("_100x") and meta.get("generation_status") == "incomplete_card_budget"
+    return method.endswith(LARGE_RUN) and meta.get("generation_status") == OLD_STATUS

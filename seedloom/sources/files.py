@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 # Files of a trained model, what a release holds and which folders it leaves out.
 MODEL_FILES = ["*.safetensors", "*.bin", "*.pt", "tokenizer.json", "tokenizer_config.json", "special_tokens_map.json", "vocab.json", "merges.txt"]
-RELEASE_SUFFIXES = [".cfg", ".json", ".jsonl", ".md", ".py", ".sh", ".toml", ".txt", ".yaml", ".yml"]
+RELEASE_SUFFIXES = [".md", ".py", ".sh", ".toml", ".yaml", ".yml"]
 RELEASE_NAMES = [".gitignore", "uv.lock"]
-LEFT_OUT = [".git", ".venv", "__pycache__", "build", "data", "dist", "outputs"]
+LEFT_OUT = [".git", ".serena", ".venv", "__pycache__", "build", "data", "dist", "outputs"]
 
 
 def _place(spark: SparkSession, path: str):

@@ -358,11 +358,11 @@ def test_label_maps_and_incomplete_runs(tmp_path):
 
 
 def test_release_walk_and_removal(spark, tmp_path):
-    for name, text in (("a/b.py", "x = 1\nmail me@host.org\n"), ("data/c.py", "me@host.org"), (".gitignore", "/home/ann\n"), ("a/d.bin", "me@host.org"), ("a/.venv/e.py", "me@host.org"), ("a/f.txt", "fine\n")):
+    for name, text in (("a/b.py", "x = 1\nmail me@host.org\n"), ("data/c.py", "me@host.org"), (".gitignore", "/home/ann\n"), ("a/d.bin", "me@host.org"), ("a/.venv/e.py", "me@host.org"), ("a/f.md", "fine\n")):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(text)
     lines = files.release_files(spark, str(tmp_path))
-    assert {r.path for r in lines.select("path").collect()} == {"a/b.py", ".gitignore", "a/f.txt"}
+    assert {r.path for r in lines.select("path").collect()} == {"a/b.py", ".gitignore", "a/f.md"}
     hits = {(r.path, r.line_no, r.pattern, r.match) for r in files.findings(lines, [("mail", r"\w+@\w+\.org"), ("home", r"/home/\w+")]).collect()}
     assert hits == {("a/b.py", 2, "mail", "me@host.org"), (".gitignore", 1, "home", "/home/ann")}
     assert files.release_scan(spark, str(tmp_path), [("mail", r"\w+@\w+\.org")]) == 1 and files.release_scan(spark, str(tmp_path), [("none", "zzz")]) == 0
@@ -370,7 +370,7 @@ def test_release_walk_and_removal(spark, tmp_path):
     for name in ("w.safetensors", "vocab.json", "metrics.json"):
         (tmp_path / "model" / name).write_text("{}")
     assert files.remove_model_files(spark, str(tmp_path / "model")) == 2 and [p.name for p in (tmp_path / "model").iterdir() if p.suffix != ".crc"] == ["metrics.json"]
-    files.copy(spark, str(tmp_path / "a/f.txt"), str(tmp_path / "a/g.txt"))
+    files.copy(spark, str(tmp_path / "a/f.md"), str(tmp_path / "a/g.txt"))
     files.copy(spark, str(tmp_path / "a/g.txt"), str(tmp_path / "a/g.txt"))
     assert (tmp_path / "a/g.txt").read_text() == "fine\n"
     files.remove(spark, str(tmp_path / "a"))
