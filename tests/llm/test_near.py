@@ -1,13 +1,14 @@
 """Near-duplicate groups, batches against history and cross-split overlaps, against brute force on small tables."""
 
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seedloom.llm import batch_history, cross_split, fingerprint, near_groups
+from seedloom.llm import batch_history, cells, cross_split, fingerprint, near_groups
 from seedloom.llm.base import gram_codes, jaccard, normalise
 
 WORDS = "amber brook cedar delta ember fjord grove haven islet jetty knoll larch meadow north orchard pier quarry ridge shore tower under valley willow yard".split()
@@ -248,3 +249,39 @@ def test_passages_reach_the_end():
     text = "".join(random.Random(2).choices("abcdefgh ", k=251))
     for t in (text, text.replace(" ", ""), text[:50]):
         assert "".join(p for _, p in cross_split.passages(t)) == f" {t}"
+
+
+def shuffle_bytes(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).length() for i in range(files.size()))
+
+
+def test_an_index_is_small_and_its_shuffles_are_deleted(spark, tmp_path):
+    rng = random.Random(12)
+    texts = {i: " ".join(rng.choices(WORDS, k=40)) for i in range(3000)}
+    df = frame(spark, texts, batch_no={i: i % 3 for i in texts})
+    index, before = batch_history.BatchIndex(spark, str(tmp_path / "index"), buckets=1), shuffle_bytes(spark)
+    index.add(df)
+    for _ in range(50):
+        left = shuffle_bytes(spark) - before
+        if left < 100_000:
+            break
+        time.sleep(0.2)
+    assert left < 100_000
+    assert sum(p.stat().st_size for p in (tmp_path / "index" / "cells").rglob("*.parquet")) < 300 * len(texts)
+    index.drop()
+
+
+@pytest.mark.parametrize("crowd", [(0, 64, 50_000), (1, 64, 0), (1000, 0, 0)])
+def test_repeats_in_crowded_cells_equal_brute_force(spark, monkeypatch, tmp_path, crowd):
+    most, kept, few = crowd
+    monkeypatch.setattr(cells, "direct", lambda: most)
+    monkeypatch.setattr(cells, "KEPT", kept)
+    monkeypatch.setattr(cells, "FEW", few)
+    monkeypatch.setattr(cells, "CHUNK", 7)
+    texts, batch = batched(13, 120)
+    df = frame(spark, texts, batch_no=batch)
+    index = batch_history.BatchIndex(spark, str(tmp_path / "index"))
+    found = {r.row_id for part in ("batch_no < 3", "batch_no = 3") for r in index.add(df.filter(part)).collect()}
+    assert found == true_repeats(texts, batch)
+    index.drop()
