@@ -5,6 +5,7 @@ import time
 from collections import defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -285,3 +286,26 @@ def test_repeats_in_crowded_cells_equal_brute_force(spark, monkeypatch, tmp_path
     found = {r.row_id for part in ("batch_no < 3", "batch_no = 3") for r in index.add(df.filter(part)).collect()}
     assert found == true_repeats(texts, batch)
     index.drop()
+
+
+@pytest.mark.parametrize("words", [40, 300])
+def test_unlike_texts_are_ruled_out_unread(spark, tmp_path, words):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 9)))
+    common = [word() for _ in range(1500)]
+    df = frame(spark, {i: " ".join(rng.choices(common, k=words)) for i in range(200)})
+    cross_split._prepared(df, "row_id", "text").coalesce(1).write.parquet(str(tmp_path / "shard"))
+    shard, rows = cross_split._Shard((tmp_path / "shard").as_uri(), 0.7), pq.read_table(tmp_path / "shard").sort_by("n")
+    pairs = sum(len(records) for _, records in shard.candidates(rows["n"].to_numpy().astype(np.int64), cross_split._bits(rows)))
+    assert 200 <= pairs < 300
+
+
+def test_overlaps_of_texts_of_all_lengths_equal_brute_force(spark):
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 9)))
+    held = {i: " ".join(word() for _ in range(rng.choice([1, 4, 70, 80, 150, 400, 900]))) for i in range(60)}
+    # edits, and copies of which up to a third is cut off, so that bitmaps of different widths meet
+    train = {1000 + i: edited(t, "random substitutions", rng) for i, t in held.items()} | {2000 + i: t[: int(len(t) * rng.uniform(0.66, 1))] for i, t in held.items()}
+    want = {(a, b) for a, x in train.items() for b, y in held.items() if similarity(x, y) >= 0.7}
+    assert len(want) > 80
+    assert {(r.train_id, r.eval_id) for r in cross_split.cross_split_overlaps(frame(spark, train), frame(spark, held)).collect()} == want
