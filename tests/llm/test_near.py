@@ -1,7 +1,7 @@
 """Near-duplicate groups, batches against history and cross-split overlaps, against brute force on small tables."""
 
 import random
-import time
+import threading
 from collections import defaultdict
 
 import numpy as np
@@ -257,19 +257,23 @@ def shuffle_bytes(spark):
     return sum(files.apply(i).length() for i in range(files.size()))
 
 
-def test_an_index_is_small_and_its_shuffles_are_deleted(spark, tmp_path):
+def test_repeats_shuffle_little_at_a_time(spark, tmp_path):
     rng = random.Random(12)
-    texts = {i: " ".join(rng.choices(WORDS, k=40)) for i in range(3000)}
+    some = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(80)]
+    texts = {i: " ".join(rng.choices(some, k=40)) for i in range(3000)}
     df = frame(spark, texts, batch_no={i: i % 3 for i in texts})
-    index, before = batch_history.BatchIndex(spark, str(tmp_path / "index"), buckets=1), shuffle_bytes(spark)
+    index, before, most, done = batch_history.BatchIndex(spark, str(tmp_path / "index")), shuffle_bytes(spark), [0], threading.Event()
+
+    def watch():
+        while not done.wait(0.1):
+            most.append(shuffle_bytes(spark) - before)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
     index.add(df)
-    for _ in range(50):
-        left = shuffle_bytes(spark) - before
-        if left < 100_000:
-            break
-        time.sleep(0.2)
-    assert left < 100_000
-    assert sum(p.stat().st_size for p in (tmp_path / "index" / "cells").rglob("*.parquet")) < 300 * len(texts)
+    done.set()
+    watcher.join()
+    assert max(most) < 350 * len(texts)
     index.drop()
 
 
