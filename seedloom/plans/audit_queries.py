@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,32 +121,32 @@ def gate_outcomes(spark: SparkSession, d: str) -> DataFrame:
     only a verdict's reason, one of them stands for an unreadable and one for a refusing verdict.
     """
     pairs = _pairs(spark, d).select("dataset", F.col("row_id").alias("id"), t.clean_pair_text(F.col("sensitive")).alias("a"), t.clean_pair_text(F.col("neutral")).alias("b"), "reason")
-    key = lambda c: F.md5(t.normalise(F.col(c)).cast("binary"))
+    key = lambda c: F.unhex(F.md5(t.normalise(F.col(c)).cast("binary")))
     curate.ensure_checkpoint(spark)
     keyed = pairs.select("*", key("a").alias("ka"), key("b").alias("kb"), (t.incomplete_reason(F.col("a")).isNotNull() | t.incomplete_reason(F.col("b")).isNotNull()).alias("cut")).checkpoint()
     sides = keyed.select("dataset", "id", F.posexplode(F.array(F.struct(F.col("a").alias("text"), F.col("ka").alias("key")), F.struct(F.col("b").alias("text"), F.col("kb").alias("key")))).alias("side", "x")).select("dataset", "id", "side", "x.*").filter("key is not null")
     known = read(spark, d, "train", "text").filter("text is not null").select(key("text").alias("key")).distinct()
-    copies = sides.join(known, "key", "left_semi").select("id").distinct().withColumn("copied", F.lit(True))
+    copied = sides.select("id", "key").join(known, "key", "left_semi")
     first = sides.groupBy("dataset", "key").agg(F.min("id").alias("first"))
-    seen = sides.join(first, ["dataset", "key"]).filter("first < id").select("id").distinct().withColumn("seen", F.lit(True))
+    seen = sides.select("dataset", "id", "key").join(first, ["dataset", "key"]).filter("first < id")
     rows = read(spark, d, "train", "row_id", "dataset", "label", "text").filter("dataset is not null and text is not null")
     refs = seed_pool(rows, [42], 5, ["dataset"]).select("dataset", F.col("text").alias("ref"))
-    items = sides.select("dataset", F.concat_ws(":", "id", "side").alias("id"), "text")
-    near = curate.best_reference(items, refs, ["dataset"]).filter(F.col("best") >= SEED_ROUGE).select(F.split("id", ":")[0].cast("bigint").alias("id")).distinct().withColumn("seed_like", F.lit(True))
+    near = curate.like_reference(sides.select("dataset", "id", "text"), refs, ["dataset"], SEED_ROUGE)
     tokens = sides.select("dataset", (F.col("id") * 2 + F.col("side")).alias("id"), t.tokens(F.col("text")).alias("tokens"))
     edges = curate.rouge_edges(tokens, ["dataset"], SEED_ROUGE).select(F.floor(F.col("a") / 2).alias("x"), F.floor(F.col("b") / 2).alias("y")).filter("x <> y")
-    like = edges.select(F.greatest("x", "y").alias("id")).distinct().withColumn("pair_like", F.lit(True))
-    whole = keyed
-    for part in (copies, seen, near, like):
-        whole = whole.join(part, "id", "left")
+    like = edges.select(F.greatest("x", "y").alias("id"))
+    # of the gates that compare with other texts, only the first that refuses a pair counts; texts stay out of the join
+    hits = reduce(DataFrame.union, (part.select("id", F.lit(i).alias("hit")) for i, part in enumerate((copied, seen, near, like))))
+    own = keyed.select("dataset", "id", (F.col("a").isNull() | F.col("b").isNull()).alias("unread"), "cut", (F.col("ka") == F.col("kb")).alias("equal"), "reason")
+    whole = own.join(hits.groupBy("id").agg(F.min("hit").alias("hit")), "id", "left")
     gates = [
-        ("pair_parse_failed", F.col("a").isNull() | F.col("b").isNull()),
+        ("pair_parse_failed", F.col("unread")),
         ("incomplete_rejected", F.col("cut")),
-        ("pair_duplicate_rejected", F.col("ka") == F.col("kb")),
-        ("seed_copy_rejected", F.col("copied")),
-        ("duplicate_rejected", F.col("seen")),
-        ("rouge_l_seed_copy_rejected", F.col("seed_like")),
-        ("rouge_l_generated_duplicate_rejected", F.col("pair_like")),
+        ("pair_duplicate_rejected", F.col("equal")),
+        ("seed_copy_rejected", F.col("hit") == 0),
+        ("duplicate_rejected", F.col("hit") == 1),
+        ("rouge_l_seed_copy_rejected", F.col("hit") == 2),
+        ("rouge_l_generated_duplicate_rejected", F.col("hit") == 3),
         ("verifier_parse_failed", F.col("reason").isNull() | (F.col("reason") == UNREADABLE)),
         ("verifier_rejected", F.col("reason") == REFUSING),
     ]

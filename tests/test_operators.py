@@ -468,3 +468,53 @@ def test_all_stages_of_a_grid(spark, tmp_path):
         pipeline.run_stages(spark, settings, "all", chosen="none")
     with pytest.raises(ValueError, match="no test accuracy"):
         pipeline.run_stages(spark, settings, "eval", chosen="oneshot", seeds=[1])
+
+
+@pytest.mark.parametrize("threshold", [0.95, 0.9])
+def test_close_edges_of_texts_of_all_lengths_equal_brute_force(spark, threshold):
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(30)]
+    texts = texts_with_edits(rng, 80) + ["w1", "w2 w1", "w1 w2"]
+    for n in (19, 20, 21, 40, 60, 130):
+        base = rng.choices(words, k=n)
+        for edits in (1, 1, 2, 3, 6):
+            x = list(base)
+            for _ in range(edits):
+                at = rng.randrange(len(x))
+                x[at : at + rng.randrange(2)] = rng.choices(words, k=rng.randrange(2))
+            texts.append(" ".join(x))
+        texts += [" ".join(base), " ".join(base[n // 2 :] + base[: n // 2])]
+    df = spark.createDataFrame([(i % 2, i, x.split()) for i, x in enumerate(texts)], "g int, id bigint, tokens array<string>")
+    firsts = {}
+    for i, x in enumerate(texts):
+        firsts.setdefault((i % 2, x), i)
+    ids = sorted(firsts.values())
+    want = {(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if a % 2 == b % 2 and f1(texts[a].split(), texts[b].split()) >= threshold}
+    assert len(want) > 20 and {(r.a, r.b) for r in curate.rouge_edges(df, ["g"], threshold).collect()} == want
+
+
+def shuffle_bytes(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(blocks.apply(i).length() for i in range(blocks.size()))
+
+
+def test_close_edges_shuffle_little(spark):
+    rng = random.Random(22)
+    words = [f"w{i}" for i in range(500)]
+    texts = [rng.choices(words, k=57) for _ in range(1000)]
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate([*texts, [*texts[0][1:], "w0"]])], "g int, id bigint, tokens array<string>")
+    before, edges = shuffle_bytes(spark), curate.rouge_edges(df, ["g"], 0.95)
+    assert [(r.a, r.b) for r in edges.collect()] == [(0, 1000)]
+    assert shuffle_bytes(spark) - before < 500 * len(texts)
+
+
+def test_like_reference_equals_brute_force(spark):
+    rng = random.Random(23)
+    words = "one two three four five six seven eight nine ten".split()
+    refs = {g: [" ".join(rng.choices(words, k=k)) for k in (1, 20, 22, 40)] for g in (1, 2)}
+    items = [(g, " ".join(w if rng.random() > 0.03 else "zero" for w in rng.choice(refs[1 + (g > 1)]).split())) for g in (1, 2, 3) for _ in range(40)] + [(1, " "), (1, refs[1][0]), (2, refs[2][3] + " one")]
+    df = spark.createDataFrame([(g, i, x) for i, (g, x) in enumerate(items)], "g int, id bigint, text string")
+    known = spark.createDataFrame([(g, x) for g, xs in refs.items() for x in xs], "g int, ref string")
+    want = {i for i, (g, x) in enumerate(items) if any(f1(x.split(), y.split()) >= 0.95 for y in refs.get(g, []))}
+    got = [r.id for r in curate.like_reference(df, known, ["g"], 0.95).collect()]
+    assert sorted(got) == sorted(want) and 10 < len(want) < 80
